@@ -34,6 +34,11 @@ class Words(NamedTuple):
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    sums: np.ndarray = np.empty(0, np.uint64)
+
+    def prefix(self, size: int) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes, or of all where they are shorter."""
+        return mix((self.sums[np.minimum(self.end, self.start + size)] - self.sums[self.start]) * _powers[1][self.start])
 
     @property
     def doc(self) -> np.ndarray:
@@ -118,7 +123,7 @@ def words(group: Group, solid: bool = False, hashed: bool = True) -> Words:
     up, down = _power(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return Words(start, end, first, mix((sums[end] - sums[start]) * down[start]))
+    return Words(start, end, first, mix((sums[end] - sums[start]) * down[start]), sums)
 
 
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
