@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shredloom.llm import fm
 from shredloom.llm.text import groups, lowered, words
 
-PARAMS = fm.Params(screen=5.0, l1=3e-4, epochs=20)
+PARAMS = fm.Params(screen=5.0, min_rows=8, l1=3e-4, epochs=20)
 STEMS = (5, 6, 7)
 LEVELS = (1, 2, 4)
 
