@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shredloom.llm import quality, toxicity
+from shredloom.llm import line_dedup, packing, quality, toxicity
 from shredloom.session import table
 
 
@@ -20,5 +20,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_quality": op4_quality}
-ORACLE: dict[str, str] = {}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without lines that are spread over many sources."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all documents."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_quality": op4_quality,
+    "op7_line_dedup": op7_line_dedup,
+    "op10_packing": op10_packing,
+}
+ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
