@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shredloom.llm import line_dedup, packing, quality, toxicity
+from shredloom.llm import line_dedup, near_dup, packing, quality, toxicity
 from shredloom.session import table
 
 
@@ -20,6 +20,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.kept_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with near duplicates, and the one that stays for each."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without lines that are spread over many sources."""
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text")
@@ -33,6 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
+    "op5_near_dup": op5_near_dup,
     "op7_line_dedup": op7_line_dedup,
     "op10_packing": op10_packing,
 }
