@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shredloom.llm import line_dedup, near_dup, packing, quality, toxicity
+from shredloom.llm import decontaminate, line_dedup, near_dup, packing, quality, toxicity
 from shredloom.session import table
 
 
@@ -30,6 +30,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of all documents."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -40,6 +45,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_near_dup": op5_near_dup,
     "op7_line_dedup": op7_line_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
 }
 ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
