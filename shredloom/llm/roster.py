@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shredloom.llm import decontaminate, line_dedup, near_dup, packing, quality, toxicity
+from shredloom.llm import decontaminate, line_dedup, near_dup, ngram_lm, packing, quality, toxicity
 from shredloom.session import table
 
 
@@ -25,6 +25,15 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all conversation turns under the documents' unbounded n-gram model.
+
+    The documents are the corpus, not the texts to score: each of them holds itself as its longest match.
+    """
+    shards, words = ngram_lm.index(table(spark, sf_dir, "documents"))
+    return ngram_lm.score(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], shards, words)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without lines that are spread over many sources."""
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text")
@@ -44,6 +53,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_quality": op4_quality,
     "op5_near_dup": op5_near_dup,
+    "op6_ngram_lm": op6_ngram_lm,
     "op7_line_dedup": op7_line_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
