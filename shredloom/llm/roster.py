@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shredloom.llm import decontaminate, line_dedup, near_dup, ngram_lm, packing, quality, toxicity
+from shredloom.llm import decontaminate, line_dedup, near_dup, ngram_lm, packing, pii, quality, toxicity
 from shredloom.session import table
 
 
@@ -14,6 +14,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and secrets of all documents."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op4_quality": op4_quality,
     "op5_near_dup": op5_near_dup,
     "op6_ngram_lm": op6_ngram_lm,
