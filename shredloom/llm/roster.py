@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from shredloom.llm import decontaminate, line_dedup, near_dup, ngram_lm, packing, pii, quality, toxicity
-from shredloom.session import table
+from shredloom.llm import ann, decontaminate, line_dedup, near_dup, ngram_lm, packing, pii, quality, toxicity, warc
+from shredloom.session import shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC files and read back through the data source."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    return warc.read_pages(spark, folder)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +53,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest neighbours of every embedding."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,11 +71,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
+    "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_near_dup": op5_near_dup,
     "op6_ngram_lm": op6_ngram_lm,
     "op7_line_dedup": op7_line_dedup,
+    "op8_ann": op8_ann,
     "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
 }
-ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op3_warc": warc.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
