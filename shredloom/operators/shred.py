@@ -76,6 +76,8 @@ class ListTable:
     rows: list[Field] = field(default_factory=list)
     value: Field | None = None
     mixed: bool = False
+    guarded: bool = False
+    stray: bool = False
 
 
 @dataclass
@@ -134,8 +136,8 @@ def _fields(found: list[Found], name_of: Callable[[tuple[str, ...]], str], sep:
 
 
 def _needs_guard(f: Field, also: dict[tuple[str, ...], set[str]], parents: set[tuple[str, ...]]) -> bool:
-    # an empty object or list isn't in the inventory, but can't be read as a number or boolean; as a string it could
-    return f.dtype == "string" or any(also[k] & {"rows", "values"} or k in parents for k in f.paths)
+    """Whether objects or lists are at the column's paths too."""
+    return any(also[k] & {"object", "rows", "values", "empty"} for k in f.paths)
 
 
 def make_plan(found: list[Found], index_key: str = "id", sep: str = "__", except_keys: Iterable[str] = (), compat: bool = False) -> ShredPlan:
@@ -161,11 +163,15 @@ def make_plan(found: list[Found], index_key: str = "id", sep: str = "__", except
     for name, t in lists.items():
         kinds = {f.kind for f in top if f.keys == t.keys}
         t.mixed = {"rows", "values"} <= kinds
+        t.guarded = "object" in kinds
+        t.stray = any(f.kind == "stray" for f in found if f.list_keys == t.keys)
         if "rows" in kinds:
-            items = [f for f in found if f.list_keys == t.keys]
+            items = [f for f in found if f.list_keys == t.keys and f.keys]
             t.rows = _fields(items, lambda k, name=name: name if joined(k) == name else f"{name}{sep}{joined(k)}", sep)
         if "values" in kinds:
-            t.value = Field(name, ((),), "string", cell=True)
+            each = [f for f in found if f.list_keys == t.keys and not f.keys]
+            nested = any(f.kind == "list" for f in each)
+            t.value = Field(name, ((),), "string" if nested else merged_type(f.dtype for f in each if f.kind == "value"), cell=nested)
     excepted: dict[str, list[tuple[str, ...]]] = {}
     for wanted in except_keys:
         paths = sorted({f.keys for f in top if f.kind == "except" and (sep.join(f.keys) == wanted or (not compat and f.keys[-1] == wanted))})
@@ -189,7 +195,7 @@ def apply_plan(records: DataFrame, plan: ShredPlan, typed: bool = True, expand:
     spark = records.sparkSession
 
     def column(f: Field, source: str) -> str:
-        shown = f if typed else Field(f.name, f.paths, "string", f.guarded or not f.cell, f.cell)
+        shown = f if typed else Field(f.name, f.paths, "string", f.guarded, f.cell)
         return f"{shown.sql(source)} AS `{f.name}`"
 
     key = f"{_id_sql(plan)} AS `{plan.index_key}`"
@@ -197,17 +203,20 @@ def apply_plan(records: DataFrame, plan: ShredPlan, typed: bool = True, expand:
     subs = {}
     for name, t in plan.lists.items():
         value = get_sql("v", t.keys)
-        lists = records.selectExpr(key, f"CASE WHEN {kind_sql(value)} = 'ARRAY' THEN {value} END AS __list").where("__list IS NOT NULL")
-        lists = lists.selectExpr("*", f"{kind_sql("try_variant_get(__list, '$[0]', 'variant')")} = 'OBJECT' AS __rows")
-        items = spark.sql(f"SELECT `{plan.index_key}`, __rows, t.value AS __item FROM {{lists}}, LATERAL variant_explode(__list) AS t", lists=lists)
-        items = items.where(f"NOT __rows OR {kind_sql('__item')} = 'OBJECT'")
+        # tests of kinds cost time: they are made only where the inventory has seen something else
+        lists = records.selectExpr(key, f"CASE WHEN {kind_sql(value)} = 'ARRAY' THEN {value} END AS __list" if t.guarded else f"{value} AS __list")
+        first = f"{kind_sql("try_variant_get(__list, '$[0]', 'variant')")} = 'OBJECT'" if t.mixed else "true" if t.value is None else "false"
+        items = spark.sql(f"SELECT `{plan.index_key}`, {first} AS __rows, t.value AS __item FROM {{lists}}, LATERAL variant_explode(__list) AS t", lists=lists)
+        if t.stray:
+            items = items.where(f"NOT __rows OR {kind_sql('__item')} = 'OBJECT'")
         fields: dict[str, list[str]] = {}
         for f in t.rows:
-            shown = f if typed else Field(f.name, f.paths, "string", True, f.cell)
+            shown = f if typed else Field(f.name, f.paths, "string", f.guarded, f.cell)
             fields.setdefault(f.name, []).append(f"CASE WHEN __rows THEN {shown.sql('__item')} END" if t.value else shown.sql("__item"))
         if t.value:
             alone = not t.rows
-            fields.setdefault(t.value.name, []).append(t.value.sql("__item") if alone else f"CASE WHEN NOT __rows THEN {t.value.sql('__item')} END")
+            value = t.value if typed else Field(name, ((),), "string", cell=t.value.cell)
+            fields.setdefault(name, []).append(value.sql("__item") if alone else f"CASE WHEN NOT __rows THEN {value.sql('__item')} END")
         picked = [f"coalesce({', '.join(f'cast({e} AS string)' for e in each)}) AS `{n}`" if len(each) > 1 else f"{each[0]} AS `{n}`" for n, each in sorted(fields.items())]
         subs[name] = items.selectExpr(f"`{plan.index_key}`", *picked)
     excepted = {name.replace(".", plan.sep): _excepted(records, plan, paths, key, expand) for name, paths in plan.excepted.items()}

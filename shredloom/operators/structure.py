@@ -2,54 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shredloom.plans.inventory import MAX_DEPTH, kind_sql
-
-_PYTHON = "CASE {k} WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' WHEN 'STRING' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'BIGINT' THEN 'int' WHEN 'VOID' THEN 'NoneType' ELSE 'float' END"
+NODES = "record_index bigint, parent string, path string, key string, kind string, branch_type string, dtype string, in_list boolean, list_len int, objects int, sample string"
 
 
 def nodes(records: DataFrame, sep: str = "__", items: int | None = None) -> DataFrame:
-    """(record_index, parent, path, key, value, kind, in_list) of every branch of every record, whatever its depth.
+    """One row for each branch of every record, in one pass: its parent, path, key, kind (dict, list, value), branch type and type.
 
-    Items of a list share its path; ``in_list`` says that a branch belongs to an object in a list. The depth is found
-    first, level by level, then all levels are one lazy union. ``items`` looks at a list's first items only.
+    Items of a list share its path; ``in_list`` says that a branch belongs to an object in a list, ``objects`` how many objects are
+    directly in a list. ``items`` looks at a list's first items only.
     """
-    spark = records.sparkSession
-    level = records.selectExpr("record_index", "'' AS path", "false AS in_list", "v AS node")
-    found = None
-    for _ in range(MAX_DEPTH):
-        within = spark.sql("SELECT record_index, path AS parent, t.key AS key, t.value AS value, in_list FROM {level}, LATERAL variant_explode(node) AS t", level=level)
-        rows = within.selectExpr("record_index", "parent", f"CASE WHEN parent = '' THEN key ELSE concat(parent, '{sep}', key) END AS path", "key", "value", f"{kind_sql('value')} AS kind", "in_list")
-        found = rows if found is None else found.unionByName(rows)
-        objects = rows.where("kind = 'OBJECT'").selectExpr("record_index", "path", "false AS in_list", "value AS node")
-        lists = rows.where("kind = 'ARRAY'")
-        limit = "" if items is None else f"WHERE t.pos < {items}"
-        inside = spark.sql(f"SELECT record_index, path, true AS in_list, t.value AS node FROM {{lists}}, LATERAL variant_explode(value) AS t {limit}", lists=lists)
-        # lists directly in lists are opened too, as long as there are any
-        flat = inside.where(f"{kind_sql('node')} = 'OBJECT'")
-        nested = inside.where(f"{kind_sql('node')} = 'ARRAY'")
-        deeper = spark.sql("SELECT record_index, path, true AS in_list, t.value AS node FROM {nested}, LATERAL variant_explode(node) AS t", nested=nested)
-        level = objects.unionByName(flat).unionByName(deeper.where(f"{kind_sql('node')} = 'OBJECT'"))
-        if level.isEmpty():
-            return found
-    raise ValueError(f"records are nested deeper than {MAX_DEPTH} levels")
-
-
-def _branch_type(value: str = "value", kind: str = "kind") -> str:
-    dicts = f"exists(try_cast({value} AS array<variant>), x -> {kind_sql('x')} = 'OBJECT')"
-    return f"CASE WHEN {kind} = 'OBJECT' THEN 'Dict' WHEN {kind} <> 'ARRAY' THEN 'Value' WHEN {dicts} THEN 'List of Dict' ELSE 'List of Value' END"
+
+    def branch(value: object) -> str:
+        if isinstance(value, dict):
+            return "Dict"
+        return "Value" if not isinstance(value, list) else "List of Dict" if any(isinstance(x, dict) for x in value) else "List of Value"
+
+    def rows(index: int, record: dict) -> Iterator[tuple]:
+        todo: list[tuple] = [("", False, record)]
+        while todo:
+            parent, inside, node = todo.pop()
+            for key, value in node.items():
+                path = f"{parent}{sep}{key}" if parent else key
+                kind = "dict" if isinstance(value, dict) else "list" if isinstance(value, list) else "value"
+                size = objects = sample = None
+                if kind == "dict":
+                    todo.append((path, False, value))
+                elif kind == "list":
+                    size = len(value)
+                    flat = value[:items]
+                    while any(isinstance(x, list) for x in flat):
+                        flat = [y for x in flat for y in (x if isinstance(x, list) else [x])]
+                    found = [x for x in flat if isinstance(x, dict)]
+                    objects = len(found)
+                    todo += [(path, True, x) for x in found]
+                elif value is not None:
+                    sample = str(value)[:80]
+                yield index, parent, path, key, kind, branch(value), type(value).__name__, inside, size, objects, sample
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("record_index", pa.int64()), *((n, pa.string()) for n in ("parent", "path", "key", "kind", "branch_type", "dtype")), ("in_list", pa.bool_()), ("list_len", pa.int32()), ("objects", pa.int32()), ("sample", pa.string())])
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                found = [r for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if text for r in rows(i, json.loads(text))]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    return records.select("record_index", F.to_json("v").alias("j")).where("j like '{%'").mapInArrow(one, NODES)
 
 
 def key_pairs(records: DataFrame, sep: str = "__") -> DataFrame:
     """Distinct (type, dtype, parent, branch): a branch of an object in a list is a value in it, a list of objects also has a node ``List``."""
-    found = nodes(records, sep)
-    typed = found.selectExpr(
-        "parent", "path AS branch", f"CASE WHEN in_list THEN 'Value in List of Dict' ELSE {_branch_type()} END AS type", "CASE WHEN in_list THEN 'list' ELSE 'dict' END AS dtype", f"{_branch_type()} AS own"
-    )
+    typed = nodes(records, sep).selectExpr("parent", "path AS branch", "CASE WHEN in_list THEN 'Value in List of Dict' ELSE branch_type END AS type", "CASE WHEN in_list THEN 'list' ELSE 'dict' END AS dtype", "branch_type AS own")
     lists = typed.where("own = 'List of Dict' OR (own = 'List of Value' AND type = 'Value in List of Dict')").selectExpr("branch AS parent", f"concat(branch, '{sep}List') AS branch", "'List' AS type", "'list' AS dtype")
     return typed.select("type", "dtype", "parent", "branch").unionByName(lists.select("type", "dtype", "parent", "branch")).distinct()
 
@@ -64,15 +75,14 @@ def branch_vote(pairs: DataFrame) -> DataFrame:
 def dict_path_stats(records: DataFrame, sep: str = "__", approximate: bool = False) -> DataFrame:
     """(path, observations, dict_keys_total, unique_keys) of the objects below the top level; items of lists share its path.
 
-    Objects are counted in the same pass as their keys, so an object without keys isn't seen.
+    One pass over the records and one aggregation.
     """
-    found = nodes(records, sep).where("parent <> ''")
     count = F.approx_count_distinct("key") if approximate else F.count_distinct("key")
-    per = nodes(records, sep).where("kind = 'OBJECT'").groupBy("path").agg(F.count("*").alias("direct"))
-    lists = nodes(records, sep).where("kind = 'ARRAY'").selectExpr("path", "size(filter(try_cast(value AS array<variant>), x -> schema_of_variant(x) LIKE 'OBJECT%')) AS n").groupBy("path").agg(F.sum("n").alias("inside"))
-    keys = found.groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("dict_keys_total"), count.alias("unique_keys"))
-    seen = per.join(lists, "path", "full").select("path", (F.coalesce("direct", F.lit(0)) + F.coalesce("inside", F.lit(0))).alias("observations")).where("observations > 0")
-    return seen.join(keys, "path", "left").select("path", "observations", F.coalesce("dict_keys_total", F.lit(0)).alias("dict_keys_total"), F.coalesce("unique_keys", F.lit(0)).alias("unique_keys"))
+    found = nodes(records, sep).select("parent", "path", "key", F.when(F.col("kind") == "dict", 1).otherwise(F.coalesce("objects", F.lit(0))).alias("seen"))
+    # each branch counts as a key of its parent, and its own objects as observations of its path
+    both = F.array(F.struct(F.col("parent").alias("path"), F.lit(0).alias("seen"), F.col("key").alias("key")), F.struct(F.col("path").alias("path"), F.col("seen").cast("int").alias("seen"), F.lit(None).cast("string").alias("key")))
+    stats = found.select(F.explode(both).alias("x")).select("x.*").where("path <> '' and (seen > 0 or key is not null)")
+    return stats.groupBy("path").agg(F.sum("seen").alias("observations"), F.count("key").alias("dict_keys_total"), count.alias("unique_keys"))
 
 
 def auto_except(stats: DataFrame, min_observations: int = 20, min_unique: int = 512, novelty: float = 2.0) -> DataFrame:
@@ -101,10 +111,7 @@ def union_view(records: DataFrame, except_keys: Iterable[str] = (), sep: str = "
     A path of several kinds or types drifts in type; one that not all records have drifts in coverage. Modes break ties by name.
     """
     total = records.agg(F.count("*")).first()[0]
-    found = nodes(records, sep, items).selectExpr(
-        "record_index", "path", "parent", "CASE kind WHEN 'OBJECT' THEN 'dict' WHEN 'ARRAY' THEN 'list' ELSE 'value' END AS kind", f"{_branch_type()} AS branch_type",
-        f"{_PYTHON.format(k='kind')} AS dtype", "CASE WHEN kind = 'ARRAY' THEN size(try_cast(value AS array<variant>)) END AS list_len", "CASE WHEN kind NOT IN ('OBJECT', 'ARRAY', 'VOID') THEN left(try_cast(value AS string), 80) END AS sample",
-    )
+    found = nodes(records, sep, items)
     # one node for each path of a record, as items of a list share it
     each = found.groupBy("record_index", "path").agg(F.min("parent").alias("parent"), *[F.min(c).alias(c) for c in ("kind", "branch_type", "dtype", "sample")], F.max("list_len").alias("list_len"))
 
@@ -130,7 +137,7 @@ def union_view(records: DataFrame, except_keys: Iterable[str] = (), sep: str = "
 
 def raw_tree(records: DataFrame, sep: str = "__", items: int = 30) -> DataFrame:
     """(parent, path, branch_type, dtype, n) of the records' branches, looking at the first ``items`` of each list."""
-    return nodes(records, sep, items).selectExpr("parent", "path", f"{_branch_type()} AS branch_type", f"{_PYTHON.format(k='kind')} AS dtype").groupBy("parent", "path", "branch_type", "dtype").agg(F.count("*").alias("n"))
+    return nodes(records, sep, items).groupBy("parent", "path", "branch_type", "dtype").agg(F.count("*").alias("n"))
 
 
 def key_diff(raw_paths: DataFrame, flat_paths: DataFrame, except_keys: Iterable[str] = (), sep: str = "__") -> DataFrame:

@@ -59,7 +59,7 @@ def shred_sub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.shred(nested_orders(spark, sf_dir)).subs["items"].select("id", *[f"items__{n}" for n in names])
 
 
-@query("SELECT l_orderkey AS id, CAST(l_partkey AS VARCHAR) AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+@query("SELECT l_orderkey AS id, l_partkey AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def shred_scalar_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shred.shred(nested_orders(spark, sf_dir)).subs["parts"]
 
