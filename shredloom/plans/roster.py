@@ -42,7 +42,9 @@ def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(
         F.col("o_orderkey").alias("id"), F.struct("o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey").alias("hdr"), F.transform("items", lambda x: x["l_partkey"]).alias("parts"), F.col("items")
     )
-    return raw_from_json(orders.select("o_orderkey", F.to_json(record).alias("j")), "j", "o_orderkey", "orders.jsonl")
+    # parsed by all cores, however few files there are
+    texts = orders.select("o_orderkey", F.to_json(record).alias("j")).repartition(spark.sparkContext.defaultParallelism)
+    return raw_from_json(texts, "j", "o_orderkey", "orders.jsonl")
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS hdr__o_orderstatus, o_totalprice AS hdr__o_totalprice, o_orderpriority AS hdr__o_orderpriority, o_custkey AS hdr__o_custkey FROM orders")
