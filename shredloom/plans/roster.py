@@ -413,8 +413,8 @@ def auto_except(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS w, unnest(range(len(regexp_split_to_array(text, '[ \n]+')))) AS at FROM documents)
-    SELECT doc_id, string_agg(w, ' ' ORDER BY at) AS text, count(*) AS tokens FROM w WHERE w <> '' GROUP BY doc_id"""
+    """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS w, unnest(range(len(regexp_split_to_array(text, '[ \n]+')))) AS pos FROM documents)
+    SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS text, count(*) AS tokens FROM w WHERE w <> '' GROUP BY doc_id"""
 )
 def rebuild_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.rebuild_text(_inverted(spark, sf_dir), "doc_id", "idx").select("doc_id", "text", "tokens")
