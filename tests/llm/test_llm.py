@@ -401,3 +401,19 @@ def test_pipeline_stages(spark, tmp_path, rng):
     packed = {d for r in corpus_pipeline.run(spark, str(tmp_path)).collect() for d in r.doc_ids}
     assert packed == {*range(5, 65)}  # the longer copy of each group stays
     assert 85 not in packed and not set(range(65, 85)) & packed
+
+
+def test_repeated_rows_give_repeated_results(spark, labelled):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels)
+    once = toxicity.toxic_documents(docs, model).count()
+    assert once and toxicity.toxic_documents(docs.unionByName(docs), model).count() == 2 * once
+    text = documents(spark, ["mail a.b@example.com"])
+    assert pii.find_pii(text.unionByName(text)).count() == 2
+
+
+def test_queries_and_oracles_have_the_same_names():
+    import __spark_entry__ as entry
+
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert {re.match(r"op(\d+)_", q)[1] for q in entry.queries() if q.startswith("op")} == {str(i) for i in range(1, 11)}
