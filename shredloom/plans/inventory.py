@@ -1,8 +1,7 @@
 """Which paths, kinds and types occur in a table of VARIANT records.
 
 One pass: every task walks its records and keeps one counter for each distinct path and kind, so that only these counters are
-shuffled. (Exploding level by level in SQL reads the input once for each level and infers every nested schema again; measured on
-nested orders it took ten times as long.)
+shuffled. (Exploding level by level in SQL reads the input once for each level and infers every nested schema again.)
 """
 
 from __future__ import annotations
