@@ -197,6 +197,23 @@ def test_near_duplicates_against_brute_force(spark, rng):
     assert kept == set(range(len(texts))) - {i for i, g in found.items() if i != g}
 
 
+def test_near_duplicates_hold_much_smaller_documents(spark):
+    rng = random.Random(8)
+    long = [sentence(rng, 900, 5000) for _ in range(6)]
+    texts = list(long)
+    for i, n in enumerate((4, 12, 40, 120, 300)):
+        texts.append(" ".join(long[i].split()[50 : 50 + n]))
+    edited = long[5].split()[100:200]
+    for at in (20, 60, 90):
+        edited[at] = "changed"
+    common = sentence(rng, 30, 5000)
+    texts += [" ".join(edited), sentence(rng, 40, 5000), common, f"{sentence(rng, 200, 5000)} {common}", f"{sentence(rng, 300, 5000)} {common}"]
+    found = {r.doc_id: r.group_id for r in near_dup.near_duplicates(documents(spark, texts)).collect()}
+    # the common passage goes with the larger of the two texts that hold it, and these two stay apart
+    assert found == {i: i % 6 for i in range(12)} | {13: 15, 15: 15}
+    assert {r.doc_id for r in near_dup.near_dedup(documents(spark, texts)).collect()} == {*range(6), 12, 14, 15}
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = documents(spark, [None, ""])
     assert near_dup.near_duplicates(docs).count() == 0 and near_dup.near_dedup(docs.where("false")).count() == 0
