@@ -1,8 +1,11 @@
 """Second-order factorisation machine over hashed features, trained on a bounded labelled sample.
 
 score = b + sum_f w_f x_f + 1/2 sum_k [(sum_f v_fk x_f)^2 - sum_f v_fk^2 x_f^2], linear in the number of
-features of a row. Training is proximal AdaGrad: an L1 penalty leaves most linear weights at exactly zero,
-and only features with a non-zero linear weight get factors, so that the model stays small enough to send
+features of a row. Training is proximal AdaGrad: an L1 penalty leaves most linear weights at exactly zero.
+Every feature with enough rows takes part in the factors, as a feature without any effect of its own may change
+that of another: factors of features with a linear weight start at random, all others at zero, and an L1 penalty
+leaves those there that don't change what another one tells. Two features that both lack an effect of their
+own are not found as a pair. Features with fewer rows have neither, so that the model can be sent
 to every task. Its size is bounded by the number of hash buckets.
 """
 
@@ -25,8 +28,8 @@ from shredloom.llm.text import segment_sums
 class Params:
     """``sample`` bounds the labelled rows that training sees; everything else covers all data.
 
-    Features in fewer than ``min_rows`` of these, or whose share differs between the two classes by fewer
-    than ``screen`` standard errors, are left out before training.
+    Features in fewer than ``min_rows`` of these are left out before training; those whose share differs between
+    the two classes by fewer than ``screen`` standard errors have factors, but no linear weight.
     """
 
     bits: int = 20
@@ -39,6 +42,7 @@ class Params:
     rate: float = 0.3
     l1: float = 1e-3
     l2: float = 1e-4
+    factor_l1: float = 1e-3
     seed: int = 17
 
 
@@ -100,7 +104,8 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
     mean = rows / n
     with np.errstate(divide="ignore", invalid="ignore"):
         z = np.abs(ones / y.sum() - (rows - ones) / (n - y.sum())) / np.sqrt(mean * (1 - mean) * (1 / y.sum() + 1 / (n - y.sum())))
-    used = np.flatnonzero((rows >= p.min_rows) & ((z >= p.screen) | (mean == 1)))
+    used = np.flatnonzero(rows >= p.min_rows)
+    linear = ((z >= p.screen) | (mean == 1))[used]
     to = np.full(1 << p.bits, -1)
     to[used] = np.arange(len(used))
     at = to[f.bucket]
@@ -116,8 +121,8 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
     for epoch in range(p.epochs + p.factor_epochs):
         second = epoch >= p.epochs
         if epoch == p.epochs:
-            active = w != 0
-            v[active] = rng.normal(0, 0.05, (int(active.sum()), k))
+            anchor = w != 0
+            v[anchor] = rng.normal(0, 0.05, (int(anchor.sum()), k))
         for batch in np.array_split(rng.permutation(n), max(1, n // 256)):
             size = first[batch + 1] - first[batch]
             ends = np.concatenate([[0], np.cumsum(size)])
@@ -131,7 +136,7 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
             gw[seen] += d**2
             step = p.rate / np.sqrt(gw[seen])
             moved = w[seen] - step * d
-            w[seen] = np.sign(moved) * np.maximum(np.abs(moved) - step * p.l1, 0)
+            w[seen] = np.sign(moved) * np.maximum(np.abs(moved) - step * p.l1, 0) * linear[seen]
             gb += g.sum() ** 2
             bias -= p.rate * g.sum() / np.sqrt(gb)
             if second:
@@ -140,9 +145,10 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
                 each_v = (each * z)[:, None] * (np.repeat(inner, size, axis=0) - va * z[:, None])
                 dv = np.stack([np.bincount(local, each_v[:, j], len(seen)) for j in range(k)], 1) + p.l2 * v[seen]
                 gv[seen] += dv**2
-                v[seen] -= 0.3 * p.rate * dv / np.sqrt(gv[seen] + 1e-3) * (w[seen] != 0)[:, None]
-    v[w == 0] = 0
-    left = np.flatnonzero(w)
+                step = 0.3 * p.rate / np.sqrt(gv[seen] + 1e-3)
+                moved = v[seen] - step * dv
+                v[seen] = np.sign(moved) * np.maximum(np.abs(moved) - step * p.factor_l1, 0)
+    left = np.flatnonzero((w != 0) | (v != 0).any(1))
     return Model(p.bits, bias, used[left], w[left], v[left])
 
 

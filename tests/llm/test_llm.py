@@ -95,6 +95,29 @@ def test_factorisation_identity_and_interaction():
     assert ((p > 0.5) == (y == 1)).all()
 
 
+def test_toxicity_learns_a_partner_without_effect_of_its_own():
+    rng = random.Random(1)
+
+    def texts(n):
+        out, toxic = [], []
+        for _ in range(n):
+            w, u, kind = [f"w{rng.randrange(600)}" for _ in range(12)], rng.random(), 0
+            if u < 0.04:
+                kind = 1 if rng.random() < 0.83 else 2
+                w[3:3] = ["trash", "can"][: 3 - kind]
+            elif u < 0.24:
+                w[5:5] = ["can"]
+            out.append(" ".join(w))
+            toxic.append(kind)
+        return toxicity.features(pa.RecordBatch.from_arrays([pa.array(out)], ["text"])), np.array(toxic)
+
+    f, kind = texts(8192)
+    model = fm.fit(f, (kind == 2).astype(float), toxicity.PARAMS)
+    f, kind = texts(4000)
+    hit = model.score(f) >= 0.5
+    assert hit[kind == 2].mean() > 0.95 and hit[kind == 1].mean() < 0.05 and hit[kind == 0].mean() < 0.01
+
+
 # --- personal data
 
 
