@@ -146,3 +146,11 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     if len(full):
         total[full] = np.add.reduceat(values, first[:-1][full], axis=0)
     return total
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while f"__{name}" in taken:
+        name += "_"
+    return f"__{name}"
