@@ -2,33 +2,42 @@
 
 Every vector is projected to ``DIMS`` dimensions with Gaussian (2-stable) weights: the squared projected distance of two
 vectors divided by their squared distance follows the chi-square distribution with ``DIMS`` degrees of freedom. The
-projected points are indexed by a kd-tree whose top levels divide them into cells of about ``CELL`` rows, one task
-each, and whose lower levels are built in that task. A query takes projected neighbours in order of rising distance, leaf by
-leaf, and verifies them by their true distances, until a vector nearer than the k-th best found so far would project beyond
-the next leaf only with probability 1 - ``CERTAINTY``: that is the chi-square stopping test.
-
-A query is first answered in its own cell; then it is sent to just those other cells whose boxes the test doesn't rule out.
+projected points are indexed by a kd-tree. Its top levels divide them into cells of about ``CELL`` rows; every cell's
+lower levels are built by one task, which writes the cell, leaf by leaf, as one file in the shared folder. Rows that the
+tree can't separate, such as copies of one vector, are divided by a hash of their ids.
+
+A query takes projected neighbours in order of rising distance, leaf by leaf, and verifies them by their true distances, until
+a vector nearer than the k-th best found so far would project beyond the next leaf only with probability 1 - ``CERTAINTY``:
+that is the chi-square stopping test. It visits cells in the same order, in rounds: its own cell, then the ``NEAR`` nearest
+that the test doesn't rule out, then all others that it still doesn't. Only queries are shuffled in a round, and only cells
+that some query visits are read.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shredloom.session import materialize
+from shredloom.session import materialize, shared_dir
 
 K = 10
 DIMS = 8
 CERTAINTY = 0.95
 CELL = 16_384
+NEAR = 4
 LEAF = 64
 PLAN_ROWS = 100_000
 SEED = 11
+_SLACK = 1e-9
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -65,12 +74,14 @@ def kd_leaves(points: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 class TopTree:
-    """The upper levels: ``axis``, ``cut`` and children of each inner node; negative children are cells."""
+    """The upper levels: ``axis``, ``cut`` and children of each inner node; a negative child -i - 1 is place i."""
 
     def __init__(self, points: np.ndarray, cells: int) -> None:
         self.nodes: list[tuple[int, float, int, int]] = []
-        self.cells = 0
+        self.places = 0
         self.root = self._grow(points, cells)
+        self.boxes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.cells: dict[int, list[int]] = {}
 
     def _grow(self, points: np.ndarray, cells: int) -> int:
         if cells > 1 and len(points) > 1:
@@ -83,150 +94,267 @@ class TopTree:
                 self.nodes.append((axis, cut, 0, 0))
                 self.nodes[at] = (axis, cut, self._grow(points[left], cells // 2), self._grow(points[~left], cells - cells // 2))
                 return at
-        self.cells += 1
-        return -self.cells
+        self.places += 1
+        return -self.places
 
     def place(self, points: np.ndarray) -> np.ndarray:
-        cell = np.zeros(len(points), np.int64)
+        """Place of each point."""
+        out = np.zeros(len(points), np.int64)
         todo = [(self.root, np.arange(len(points)))]
         while todo:
             node, rows = todo.pop()
             if node < 0:
-                cell[rows] = -node - 1
+                out[rows] = -node - 1
                 continue
             axis, cut, left, right = self.nodes[node]
             low = points[rows, axis] < cut
             todo += [(left, rows[low]), (right, rows[~low])]
-        return cell
+        return out
 
+    def fit_boxes(self, places: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Give every node the box of the cells below it; cell i lies in ``places[i]``."""
+        for i, p in enumerate(places.tolist()):
+            self.cells.setdefault(p, []).append(i)
 
-def _matrix(column: pa.Array, dim: int, dtype: type = np.float64) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, dim)
-
-
-def _nearest(base: np.ndarray, ids: np.ndarray, proj: np.ndarray, query: np.ndarray, qids: np.ndarray, qproj: np.ndarray, bound: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of ``base`` for each query by incremental search: (rows or -1, squared distances)."""
-    leaves = kd_leaves(proj, LEAF)
-    low = np.array([proj[x].min(0) for x in leaves])
-    high = np.array([proj[x].max(0) for x in leaves])
-    norm = (base**2).sum(1)
-    out = np.full((len(query), k), -1, np.int64)
-    dist = np.full((len(query), k), np.inf)
-    for block in kd_leaves(qproj, LEAF):  # queries that are near each other search together
-        q, qp, own, best = query[block], qproj[block], qids[block], bound[block].copy()
-        gap = np.maximum(np.maximum(low[None] - qp[:, None], qp[:, None] - high[None]), 0)
-        box = (gap**2).sum(2)
-        found, near = np.full((len(block), k), -1, np.int64), np.full((len(block), k), np.inf)
-        qn = (q**2).sum(1)[:, None]
-        order = np.argsort(box.min(0), kind="stable")
-        for start in range(0, len(order), 8):
-            some = order[start : start + 8]
-            live = box[:, some] <= limit * best[:, None]
-            rows = np.flatnonzero(live.any(1))
+        def box(node: int) -> tuple[np.ndarray, np.ndarray]:
+            if node < 0:
+                mine = self.cells.get(-node - 1, [])
+                found = [(low[i], high[i]) for i in mine]
+            else:
+                found = [box(child) for child in self.nodes[node][2:]]
+            bottom = np.min([x for x, _ in found], 0) if found else np.full(DIMS, np.inf)
+            top = np.max([y for _, y in found], 0) if found else np.full(DIMS, -np.inf)
+            self.boxes[node] = bottom, top
+            return self.boxes[node]
+
+        box(self.root)
+
+    def reach(self, points: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, cell, squared distance) of all cells whose squared distance is within each point's bound, by descent."""
+        rows_, cells_, gaps_ = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        todo = [(self.root, np.arange(len(points)))]
+        while todo:
+            node, rows = todo.pop()
+            low, high = self.boxes[node]
+            gap = (np.maximum(np.maximum(low - points[rows], points[rows] - high), 0) ** 2).sum(1)
+            near = gap <= bound[rows] * (1 + _SLACK) + _SLACK
+            rows, gap = rows[near], gap[near]
             if not len(rows):
-                if box[:, order[start:]].min(1).__gt__(limit * best).all():
-                    break
                 continue
-            take = np.concatenate([leaves[x] for x in some[live.any(0)]])
-            projected = (qp[rows] ** 2).sum(1)[:, None] + (proj[take] ** 2).sum(1)[None] - 2 * qp[rows] @ proj[take].T
-            true = np.maximum(qn[rows] + norm[take][None] - 2 * q[rows] @ base[take].T, 0)
-            true[(projected > limit * best[rows, None] + 1e-9) | (own[rows, None] == ids[take][None])] = np.inf
-            every = np.concatenate([near[rows], true], 1)
-            names = np.concatenate([found[rows], np.broadcast_to(take, true.shape)], 1)
-            keep = np.argpartition(every, k - 1, axis=1)[:, :k]
-            near[rows], found[rows] = np.take_along_axis(every, keep, 1), np.take_along_axis(names, keep, 1)
-            best[rows] = np.minimum(best[rows], near[rows].max(1))
-        found[~np.isfinite(near)] = -1
-        out[block], dist[block] = found, near
-    return out, dist
-
-
-def neighbours(vectors: DataFrame, k: int = K, certainty: float = CERTAINTY, cell_rows: int = CELL) -> DataFrame:
-    """(vec_id, neighbour_id, rank, distance): about the k nearest other vectors of every vector, nearest first.
-
-    Every row is a query. Rows with a null id, a null embedding, nulls or NaNs in it, or a length other than the most
-    frequent one (of equally frequent ones the longest) have no neighbours and are none. Equal vectors are each other's neighbours at distance 0; ties
-    go to the smaller id. Rows that repeat an id count once. With fewer than k others, all are given.
+            if node >= 0:
+                todo += [(child, rows) for child in self.nodes[node][2:]]
+                continue
+            for cell in self.cells.get(-node - 1, []):
+                rows_.append(rows)
+                cells_.append(np.full(len(rows), cell))
+                gaps_.append(gap)
+        return np.concatenate(rows_), np.concatenate(cells_), np.concatenate(gaps_)
+
+
+class Cell(NamedTuple):
+    """One cell's rows in the order of its leaves; ``rank`` is the order of the ids, ``first`` where leaves begin."""
+
+    ids: pa.Array
+    base: np.ndarray
+    proj: np.ndarray
+    rank: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def build(cls, table: pa.Table, dim: int) -> Cell:
+        base, proj = _matrix(table.column("embedding"), dim), _matrix(table.column("proj"), DIMS)
+        leaves = kd_leaves(proj, LEAF)
+        order = np.concatenate(leaves)
+        ids = table.column("vec_id").combine_chunks().take(pa.array(order))
+        rank = np.empty(len(ids), np.int64)
+        rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        return cls(ids, base[order], proj[order], rank, np.concatenate([[0], np.cumsum([len(x) for x in leaves])]))
+
+    def save(self, uri: str) -> None:
+        """The file appears whole or not at all, also if the task is repeated."""
+        system, path = fs.FileSystem.from_uri(uri)
+        part = f"{path}.{uuid.uuid4().hex}"
+        leaf = np.zeros(len(self.ids), bool)
+        leaf[self.first[:-1]] = True
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]) for x in (self.base, self.proj)]
+        table = pa.table({"vec_id": self.ids, "embedding": lists[0], "proj": lists[1], "rank": self.rank, "leaf": leaf})
+        with system.open_output_stream(part) as out, pa.ipc.new_file(out, table.schema) as writer:
+            writer.write_table(table)
+        system.move(part, path)
+
+    @classmethod
+    def load(cls, uri: str) -> Cell:
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as file:
+            table = pa.ipc.open_file(file).read_all().combine_chunks()
+        flat = [table.column(c).chunk(0).flatten().to_numpy().reshape(len(table), -1) for c in ("embedding", "proj")]
+        first = np.append(np.flatnonzero(table.column("leaf").to_numpy()), len(table))
+        return cls(table.column("vec_id").chunk(0), flat[0].astype(np.float64), flat[1], table.column("rank").to_numpy(), first)
+
+    def search(self, query: np.ndarray, own: np.ndarray, proj: np.ndarray, far: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, distance) of each query's k nearest rows other than ``own``, of those not farther than ``far``.
+
+        By distance, then by id: distances are taken from the vectors themselves wherever the order may hang on them.
+        """
+        first, norm = self.first, (self.base**2).sum(1)
+        low, high = np.minimum.reduceat(self.proj, first[:-1]), np.maximum.reduceat(self.proj, first[:-1])
+        done = []
+        for block in kd_leaves(proj, LEAF):  # queries that are near each other search together
+            q, qp, mine, best = query[block], proj[block], own[block], far[block] ** 2
+            qn = (q**2).sum(1)
+            box = (np.maximum(np.maximum(low[None] - qp[:, None], qp[:, None] - high[None]), 0) ** 2).sum(2)
+            order = np.argsort(box.min(0), kind="stable")
+            row, at, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for start in range(0, len(order), 8):
+                reach = limit * best * (1 + _SLACK) + _SLACK
+                if (box[:, order[start:]].min(1) > reach).all():
+                    break
+                some = order[start : start + 8]
+                live = box[:, some] <= reach[:, None]
+                rows = np.flatnonzero(live.any(1))
+                if not len(rows):
+                    continue
+                take = np.concatenate([np.arange(first[x], first[x + 1]) for x in some[live.any(0)]])
+                projected = (qp[rows] ** 2).sum(1)[:, None] + (self.proj[take] ** 2).sum(1)[None] - 2 * qp[rows] @ self.proj[take].T
+                rough = qn[rows][:, None] + norm[take][None] - 2 * q[rows] @ self.base[take].T
+                slack = _SLACK * (qn[rows][:, None] + norm[take][None])
+                r, c = np.nonzero((projected <= reach[rows, None] + _SLACK) & (rough <= best[rows, None] + slack) & (mine[rows, None] != take[None]))
+                r, c = rows[r], take[c]
+                row, at, dist = np.concatenate([row, r]), np.concatenate([at, c]), np.concatenate([dist, ((q[r] - self.base[c]) ** 2).sum(1)])
+                keep = np.lexsort([self.rank[at], dist, row])
+                row, at, dist = row[keep], at[keep], dist[keep]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                full = nth == k - 1
+                best[row[full]] = np.minimum(best[row[full]], dist[full])
+                row, at, dist = row[nth < k], at[nth < k], dist[nth < k]
+            done.append((block[row], at, np.sqrt(dist)))
+        return tuple(np.concatenate(x) for x in zip(*done)) if done else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def _clean(vectors: DataFrame) -> DataFrame:
+    x = F.col("embedding")
+    whole = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)) & (F.size(x) > 0)
+    return vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & whole).dropDuplicates(["vec_id"])
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame | None = None, k: int = K, certainty: float = CERTAINTY, cell_rows: int = CELL) -> DataFrame:
+    """(vec_id, neighbour_id, rank, distance): about the k nearest vectors of every query, nearest first.
+
+    ``queries`` has the columns of ``vectors``; without it every vector is one. A vector with the query's id is no
+    neighbour. Rows with a null id, a null embedding, nulls or NaNs in it, or a length other than the most frequent one of
+    ``vectors`` (of equally frequent ones the longest) have no neighbours and are none. Equal vectors are each other's
+    neighbours at distance 0; ties go to the smaller id. Of rows that repeat an id one counts, no matter which. With fewer
+    than k others, all are given. Ids are of any type that can be ordered. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    x = F.col("embedding")
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    clean = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)) & (F.size(x) > 0)).dropDuplicates(["vec_id"])
-    sizes = clean.groupBy(F.size(x).alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    result = f"vec_id {kind}, neighbour_id {kind}, rank int, distance double"
+    clean = _clean(vectors)
+    sizes = clean.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     if sizes is None:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], f"vec_id {kind}, neighbour_id {kind}, rank int, distance double")
     dim, n = sizes["dim"], sizes["count"]
-    clean = clean.where(F.size(x) == dim)
-    weights = _weights(dim, DIMS)
-    limit = chi_square_quantile(certainty, DIMS)
-    # where cells are cut needs no exactness: every row is placed and boxes are taken from all rows
-    plan = clean.orderBy(F.xxhash64("vec_id")).limit(PLAN_ROWS).select("embedding").toArrow()
-    tree = TopTree(_matrix(plan.column("embedding"), dim) @ weights, -(-n // cell_rows))
+    weights, limit = _weights(dim, DIMS), chi_square_quantile(certainty, DIMS)
+    folder = f"{shared_dir(spark)}/cells-{uuid.uuid4().hex}"
+    number = vectors.schema["embedding"].dataType.elementType.simpleString()
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                p = _matrix(b.column("embedding"), dim) @ weights
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * DIMS), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(tree.place(p)), b.column("vec_id"), b.column("embedding").cast(pa.list_(pa.float64())), lists], ["cell", "vec_id", "embedding", "proj"])
-
-    placed = materialize(clean.mapInArrow(place, f"cell bigint, vec_id {kind}, embedding array<double>, proj array<double>"), "placed")
-    found_schema = f"vec_id {kind}, found array<struct<distance:double,neighbour_id:{kind}>>"
-
-    def lists(qids: pa.Array, base: np.ndarray, ids: np.ndarray, query: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
-        has = (rows >= 0).sum(1)
-        flat = rows[rows >= 0]
-        each = np.repeat(np.arange(len(rows)), has)
-        exact = np.sqrt(((base[flat] - query[each]) ** 2).sum(1))
-        pairs = pa.StructArray.from_arrays([pa.array(exact), pa.array(ids[flat])], ["distance", "neighbour_id"])
-        far = np.full(len(rows), np.inf)
-        full = has == rows.shape[1]
-        worst = np.zeros(len(rows))
-        np.maximum.at(worst, each, exact)
-        far[full] = worst[full]
-        return qids, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(has)]).astype(np.int32)), pairs), far
-
-    def home(table: pa.Table) -> pa.Table:
-        base, p = _matrix(table.column("embedding"), dim), _matrix(table.column("proj"), DIMS)
-        ids = table.column("vec_id").to_numpy()
-        rows, _ = _nearest(base, ids, p, base, ids, p, np.full(len(ids), np.inf), k, limit)
-        q, found, far = lists(table.column("vec_id").combine_chunks(), base, ids, base, rows)
-        return pa.table({"vec_id": q, "found": found, "far": far})
-
-    first = materialize(placed.groupBy("cell").applyInArrow(home, found_schema + ", far double"), "home")
-    cells = placed.groupBy("cell").agg(*[F.min(F.col("proj")[j]).alias(f"lo{j}") for j in range(DIMS)], *[F.max(F.col("proj")[j]).alias(f"hi{j}") for j in range(DIMS)]).orderBy("cell").collect()
-    number = np.array([c.cell for c in cells])
-    low, high = (np.array([[c[f"{side}{j}"] for j in range(DIMS)] for c in cells]) for side in ("lo", "hi"))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("embedding"), _lists(_matrix(b.column("embedding"), dim) @ weights)], ["vec_id", "embedding", "proj"])
+
+    shape = f"vec_id {kind}, embedding array<{number}>, proj array<double>"
+    points = clean.where(F.size("embedding") == dim).mapInArrow(project, shape)
+    # where cells are cut needs no exactness: every row is placed, and boxes are taken from all rows
+    plan = points.select("vec_id", "proj").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PLAN_ROWS).select("proj").toArrow()
+    tree = TopTree(_matrix(plan.column("proj"), DIMS), -(-n // cell_rows))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p, far = _matrix(b.column("proj"), DIMS), b.column("far").to_numpy()
-            for at in range(0, len(p), 1000):
-                s = p[at : at + 1000]
-                box = (np.maximum(np.maximum(low[None] - s[:, None], s[:, None] - high[None]), 0) ** 2).sum(2)
-                go = (box <= limit * far[at : at + 1000, None] ** 2) & (number[None] != b.column("cell").to_numpy()[at : at + 1000, None])
-                row, to = np.nonzero(go)
-                if len(row):
-                    t = b.take(pa.array(row + at))
-                    yield pa.RecordBatch.from_arrays([pa.array(number[to]), *(t.column(c) for c in ("vec_id", "embedding", "proj", "far"))], ["cell", "vec_id", "embedding", "proj", "far"])
-
-    routed = placed.join(first.select("vec_id", "far"), "vec_id").select("cell", "vec_id", "embedding", "proj", "far").mapInArrow(route, f"cell bigint, vec_id {kind}, embedding array<double>, proj array<double>, far double")
-
-    def away(points: pa.Table, queries: pa.Table) -> pa.Table:
-        base, p = _matrix(points.column("embedding"), dim), _matrix(points.column("proj"), DIMS)
-        ids = points.column("vec_id").to_numpy()
-        q, qp = _matrix(queries.column("embedding"), dim), _matrix(queries.column("proj"), DIMS)
-        if not len(q) or not len(base):
-            rows = np.full((len(q), k), -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.place(_matrix(b.column("proj"), DIMS)))], [*b.schema.names, "place"])
+
+    placed = materialize(points.mapInArrow(place, shape + ", place bigint"), "placed")
+    room = placed.groupBy("place").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / (2.0 * cell_rows))).alias("parts"))
+    parted = placed.join(F.broadcast(room), "place").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        cell = Cell.build(table, dim)
+        uri = f"{folder}/{key[0].as_py():08d}-{key[1].as_py():06d}"
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        cell.save(uri)
+        return pa.table({"place": [key[0]], "uri": [uri], "low": [cell.proj.min(0)], "high": [cell.proj.max(0)]})
+
+    cells = sorted(parted.groupBy("place", "part").applyInArrow(build, "place bigint, uri string, low array<double>, high array<double>").collect(), key=lambda c: c.uri)
+    uris = [c.uri for c in cells]
+    tree.fit_boxes(np.array([c.place for c in cells]), np.array([c.low for c in cells]), np.array([c.high for c in cells]))
+    asked = placed.select("vec_id", "embedding", "proj") if queries is None else materialize(_clean(queries).where(F.size("embedding") == dim).mapInArrow(project, shape), "queries")
+    routed_shape = f"cell bigint, {shape}, far double"
+    found_shape = f"vec_id {kind}, distance double, neighbour_id {kind}"
+
+    def visit(state: DataFrame, turn: int) -> DataFrame:
+        """What the queries of ``state`` (vec_id, embedding, proj, far) find in the cells of one round."""
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 1000):
+                    t = b.slice(lo, 1000)
+                    p, far = _matrix(t.column("proj"), DIMS), t.column("far").to_numpy()
+                    home = tree.place(p)
+                    at = [np.array(tree.cells.get(i, []), np.int64) for i in home.tolist()]
+                    row, to = np.repeat(np.arange(len(p)), [len(x) for x in at]), np.concatenate(at)
+                    if turn:
+                        seen = row * len(uris) + to
+                        row, to, gap = tree.reach(p, limit * far**2)
+                        other = ~np.isin(row * len(uris) + to, seen)
+                        row, to, gap = row[other], to[other], gap[other]
+                        order = np.lexsort([to, gap, row])
+                        row, to = row[order], to[order]
+                        nth = np.arange(len(row)) - np.searchsorted(row, row)
+                        # what is nearer than the cells of the round before has been visited: bounds only get tighter
+                        now = nth < NEAR if turn == 1 else nth >= NEAR
+                        row, to = row[now], to[now]
+                    if len(row):
+                        s = t.take(pa.array(row))
+                        yield pa.RecordBatch.from_arrays([pa.array(to), *(s.column(c) for c in ("vec_id", "embedding", "proj", "far"))], ["cell", "vec_id", "embedding", "proj", "far"])
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: tuple[int, Cell] | None = None
+            for b in batches:
+                which = b.column("cell").to_numpy()
+                for lo in np.flatnonzero(np.diff(which, prepend=-1)).tolist():
+                    t = b.slice(lo, int(np.searchsorted(which[lo:], which[lo], "right")))
+                    if held is None or held[0] != which[lo]:
+                        held = int(which[lo]), Cell.load(uris[which[lo]])
+                    cell = held[1]
+                    own = pc.fill_null(pc.index_in(t.column("vec_id"), value_set=cell.ids), -1).to_numpy(zero_copy_only=False)
+                    row, at, dist = cell.search(_matrix(t.column("embedding"), dim), own, _matrix(t.column("proj"), DIMS), t.column("far").to_numpy(), k, limit)
+                    yield pa.RecordBatch.from_arrays([t.column("vec_id").take(pa.array(row)), pa.array(dist), cell.ids.take(pa.array(at))], ["vec_id", "distance", "neighbour_id"])
+
+        routed = state.mapInArrow(route, routed_shape)
+        # a cell that many queries visit is read by several tasks
+        spread = routed.repartition(F.col("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(16))).sortWithinPartitions("cell")
+        return spread.mapInArrow(look, found_shape)
+
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour_id"))), 1, k)
+    best = None
+    for turn in range(3):
+        if best is None:
+            state = asked.withColumn("far", F.lit(float("inf")))
+            every = visit(state, turn)
         else:
-            rows, _ = _nearest(base, ids, p, q, queries.column("vec_id").to_numpy(), qp, queries.column("far").to_numpy() ** 2, k, limit)
-        names = queries.column("vec_id").combine_chunks() if len(q) else pa.array([], queries.schema.field("vec_id").type)
-        q, found, _ = lists(names, base, ids, q, rows)
-        return pa.table({"vec_id": q, "found": found})
-
-    more = placed.groupBy("cell").cogroup(routed.groupBy("cell")).applyInArrow(away, found_schema)
-    best = first.select("vec_id", "found").unionByName(more).select("vec_id", F.explode("found").alias("f")).groupBy("vec_id").agg(F.slice(F.array_sort(F.collect_list("f")), 1, k).alias("best"))
+            kth = best.select(F.col("vec_id").alias("id"), F.when(F.size("best") >= k, F.element_at("best", -1)["distance"]).alias("kth"))
+            state = asked.join(kth, F.col("id") == F.col("vec_id"), "left").select("vec_id", "embedding", "proj", F.coalesce("kth", F.lit(float("inf"))).alias("far"))
+            before = best.select("vec_id", F.explode("best").alias("f")).select("vec_id", "f.distance", "f.neighbour_id")
+            every = before.unionByName(visit(state, turn))
+        best = materialize(every.groupBy("vec_id").agg(nearest.alias("best")), "best")
     return best.select("vec_id", F.posexplode("best").alias("at", "f")).select("vec_id", F.col("f.neighbour_id").alias("neighbour_id"), (F.col("at") + 1).alias("rank"), F.round("f.distance", 6).alias("distance"))

@@ -330,6 +330,18 @@ def test_neighbours_recall_and_cases(spark):
     assert recall >= 0.9 and set(got) == set(range(len(x))) and got[3][0] == (7, 0.0)
 
 
+def test_neighbours_ties_string_ids_and_stated_queries(spark):
+    rows = [(f"v{i:03d}", [1.0, 2.0, 3.0]) for i in range(40)] + [(f"x{i:03d}", [float(i), 0.5, 0.0]) for i in range(40)]
+    df = spark.createDataFrame(rows * 2, "vec_id string, embedding array<float>")
+    asked = df.where("vec_id in ('v005', 'v039', 'x000')").withColumn("place", F.lit(1))
+    got = collections.defaultdict(list)
+    for r in ann.neighbours(df.withColumn("proj", F.lit("a")), asked, cell_rows=10).orderBy("vec_id", "rank").collect():
+        got[r.vec_id].append((r.neighbour_id, r.distance))
+    first = [f"v{i:03d}" for i in range(11)]
+    assert got["v005"] == [(i, 0.0) for i in first if i != "v005"] and got["v039"] == [(i, 0.0) for i in first[:10]]
+    assert [n for n, _ in got["x000"][:3]] == ["x001", "x002", "x003"] and set(got) == {"v005", "v039", "x000"}
+
+
 def test_neighbours_of_few(spark):
     kind = "vec_id bigint, embedding array<float>"
     assert ann.neighbours(spark.createDataFrame([], kind)).count() == 0
