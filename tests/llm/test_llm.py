@@ -260,28 +260,61 @@ def test_components(spark):
 # --- language model
 
 
-def test_ngram_scores_against_counts(spark, rng):
-    corpus = [sentence(rng, rng.randrange(1, 60), 12) for _ in range(40)] + [None, "", "a a a a a a a a"] * 2
-    texts = [sentence(rng, 20, 14), corpus[0], "", None, "unseen", "a a a a"]
-    shards, total = ngram_lm.index(documents(spark, corpus), 300)
-    assert len(shards) > 2
+def ngram_logs(text, corpus):
+    """Log probability of a text and its mean context, from counts of all n-grams of a corpus."""
     count = collections.Counter()
     for c in corpus:
         w = tokens(c)
         for n in range(1, len(w) + 1):
             for i in range(len(w) - n + 1):
                 count[tuple(w[i : i + n])] += 1
-    assert total == sum(n for k, n in count.items() if len(k) == 1)
-    scored = ngram_lm.score(spark.createDataFrame(list(enumerate(texts)), "k long, text string"), ["k"], shards, total, 50).collect()
-    assert len(scored) == len(texts)
+    total = sum(n for k, n in count.items() if len(k) == 1)
+    w, logs, contexts = tokens(text), 0.0, 0
+    for i in range(len(w)):
+        n = max(n for n in range(i + 1) if n == 0 or count[tuple(w[i - n : i])])
+        seen = count[tuple(w[i - n : i])] if n else total
+        alone = (count[(w[i],)] + 1) / (total + ngram_lm.VOCABULARY)
+        logs += math.log((count[tuple(w[i - n : i + 1])] + ngram_lm.ALPHA * alone) / (seen + ngram_lm.ALPHA))
+        contexts += n
+    return logs, contexts / len(w) if w else None
+
+
+def test_ngram_scores_against_counts(spark, rng):
+    corpus = [sentence(rng, rng.randrange(1, 60), 12) for _ in range(40)] + [None, "", "a a a a a a a a"] * 2
+    corpus += [corpus[3] + " tail", corpus[3], "b " + corpus[3]]
+    texts = [sentence(rng, 20, 14), corpus[0], corpus[3], "", None, "unseen", "a a a a"]
+    shards, total = ngram_lm.index(documents(spark, corpus), 300)
+    assert len(shards) > 2 and total == sum(len(tokens(c)) for c in corpus)
+    rows = [(i, t) for i, t in enumerate(texts)] * 2
+    scored = ngram_lm.score(spark.createDataFrame(rows, "row long, text string"), ["row"], shards, total, block_chars=50).collect()
+    assert len(scored) == len(rows)
     for r in scored:
-        w, logs = tokens(texts[r.k]), 0.0
-        for i in range(len(w)):
-            n = max(n for n in range(i + 1) if n == 0 or count[tuple(w[i - n : i])])
-            seen = count[tuple(w[i - n : i])] if n else total
-            alone = (count[(w[i],)] + 1) / (total + ngram_lm.VOCABULARY)
-            logs += math.log((count[tuple(w[i - n : i + 1])] + ngram_lm.ALPHA * alone) / (seen + ngram_lm.ALPHA))
-        assert r.n_words == len(w) and abs(r.log_prob - logs) < 1e-5
+        logs, mean = ngram_logs(texts[r.row], corpus)
+        assert r.n_words == len(tokens(texts[r.row])) and abs(r.log_prob - logs) < 1e-5
+        assert (r.mean_context is None) == (mean is None) and abs((r.mean_context or 0) - (mean or 0)) < 1e-5
+
+
+def test_ngram_scores_without_the_texts_own_rows(spark, rng):
+    corpus = [sentence(rng, rng.randrange(1, 40), 12) for _ in range(24)] + ["a a a a a a a a", None, "only here"]
+    corpus += [corpus[5], corpus[5] + " tail", corpus[6]]
+    docs = documents(spark, corpus)
+    docs = docs.unionByName(docs.where("doc_id = 6")).unionByName(documents(spark, ["nobody owns this"]).withColumn("doc_id", F.lit(None).cast("long")))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for chars in (150, 1 << 20):
+        shards, total = ngram_lm.index(docs, chars)
+        scored = ngram_lm.score(docs, ["doc_id"], shards, total, own="doc_id", block_chars=200).collect()
+        assert len(scored) == len(rows)
+        for r in scored:
+            text = next(t for i, t in rows if i == r.doc_id)
+            logs, _ = ngram_logs(text, [t for i, t in rows if i is None or i != r.doc_id])
+            assert abs(r.log_prob - logs) < 1e-5, r
+
+
+def test_ngram_match_of_a_long_copy(spark, rng):
+    long = sentence(rng, 20_000, 5000)
+    shards, total = ngram_lm.index(documents(spark, [long, long, "x " + long]))
+    got = ngram_lm.score(documents(spark, [long]), ["doc_id"], shards, total, own="doc_id").first()
+    assert got.n_words == 20_000 and got.mean_context > 9000
 
 
 def test_ngram_without_corpus(spark):
