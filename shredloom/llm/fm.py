@@ -3,9 +3,11 @@
 score = b + sum_f w_f x_f + 1/2 sum_k [(sum_f v_fk x_f)^2 - sum_f v_fk^2 x_f^2], linear in the number of
 features of a row. Training is proximal AdaGrad: an L1 penalty leaves most linear weights at exactly zero.
 Every feature with enough rows takes part in the factors, as a feature without any effect of its own may change
-that of another: factors of features with a linear weight start at random, all others at zero, and an L1 penalty
-leaves those there that don't change what another one tells. Two features that both lack an effect of their
-own are not found as a pair. Features with fewer rows have neither, so that the model can be sent
+that of another: factors of features with a linear weight start at random. All others start at zero, where their gradient
+is zero too, so that two features that both lack an effect of their own would never be found as a pair. Therefore every
+pair of features that are frequent enough to tell is tested on what the linear part leaves: a pair whose rows differ
+from those with one of the two alone starts with factors of its own, and both get linear weights. An L1 penalty takes
+factors away again that don't help. Features with fewer rows have neither, so that the model can be sent
 to every task. Its size is bounded by the number of hash buckets.
 """
 
@@ -29,7 +31,8 @@ class Params:
     """``sample`` bounds the labelled rows that training sees; everything else covers all data.
 
     Features in fewer than ``min_rows`` of these are left out before training; those whose share differs between
-    the two classes by fewer than ``screen`` standard errors have factors, but no linear weight.
+    the two classes by fewer than ``screen`` standard errors have factors, but no linear weight. Pairs are tested
+    among features of at least ``pair_share`` of the rows, and start with factors from ``pair_screen`` standard errors on.
     """
 
     bits: int = 20
@@ -37,6 +40,8 @@ class Params:
     sample: int = 8192
     min_rows: int = 4
     screen: float = 0.0
+    pair_share: float = 0.02
+    pair_screen: float = 7.0
     epochs: int = 12
     factor_epochs: int = 6
     rate: float = 0.3
@@ -123,6 +128,13 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
         if epoch == p.epochs:
             anchor = w != 0
             v[anchor] = rng.normal(0, 0.05, (int(anchor.sum()), k))
+            left = y - 1 / (1 + np.exp(-_raw(bias, w[at], v[at] * 0, x, first)))
+            for i, j, sign in zip(*_pairs(first, at, left, np.flatnonzero(rows[used] >= max(p.min_rows, p.pair_share * n)), p.pair_screen)):
+                way = rng.normal(size=k)
+                way *= 0.7 / np.sqrt((way**2).sum())
+                v[i] += way
+                v[j] += sign * way
+                linear[[i, j]] = True
         for batch in np.array_split(rng.permutation(n), max(1, n // 256)):
             size = first[batch + 1] - first[batch]
             ends = np.concatenate([[0], np.cumsum(size)])
@@ -152,6 +164,49 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
     return Model(p.bits, bias, used[left], w[left], v[left])
 
 
+def _pairs(first: np.ndarray, at: np.ndarray, left: np.ndarray, some: np.ndarray, screen: float) -> tuple[list[int], list[int], list[int]]:
+    """Pairs of the features ``some`` on whose common rows the mean of ``left`` differs from that of either one alone.
+
+    (feature, feature, sign of the difference). Of features that occur in the same rows one stands for all.
+    """
+    n, m = len(left), max(int(at.max(initial=-1)), int(some.max(initial=-1))) + 1
+    to = np.full(m, -1)
+    to[some] = np.arange(len(some))
+    col = to[at]
+    keep = np.flatnonzero(col >= 0)
+    row = np.repeat(np.arange(n), np.diff(first))[keep]
+    own = np.bincount(col[keep], _marks(n)[row], len(some))
+    _, one = np.unique(own, return_index=True)
+    one.sort()
+    back = np.full(len(some), -1)
+    back[one] = np.arange(len(one))
+    keep, row = keep[back[col[keep]] >= 0], row[back[col[keep]] >= 0]
+    has = np.zeros((n, len(one)), np.float32)
+    has[row, back[col[keep]]] = 1
+    each, sums = has.sum(0), left.astype(np.float32) @ has
+    found: tuple[list[int], list[int], list[int]] = [], [], []
+    for lo in range(0, len(one), 512):
+        block = has[:, lo : lo + 512]
+        both, total = block.T @ has, (block * left[:, None].astype(np.float32)).T @ has
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = total / both
+            z = []
+            for n1, s1 in ((each[lo : lo + 512, None], sums[lo : lo + 512, None]), (each[None], sums[None])):
+                alone = n1 - both
+                z.append((mean - (s1 - total) / alone) / np.sqrt(0.25 / both + 0.25 / alone))
+        sure = (np.minimum(np.abs(z[0]), np.abs(z[1])) >= screen) & (z[0] * z[1] > 0)  # not a number where rows lack
+        i, j = np.nonzero(sure)
+        ahead = i + lo < j
+        found[0].extend(some[one[i[ahead] + lo]].tolist())
+        found[1].extend(some[one[j[ahead]]].tolist())
+        found[2].extend(np.sign(z[0][i, j][ahead]).astype(int).tolist())
+    return found
+
+
+def _marks(n: int) -> np.ndarray:
+    return np.random.default_rng(1).random(n)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: Column, featurise: Callable[[pa.RecordBatch], Features], columns: list[str], p: Params, pick_cut: Callable[[np.ndarray, np.ndarray], float] | None = None) -> Model:
     """Fit on at most ``p.sample`` labelled documents: those whose ids have the smallest hashes.
 
@@ -160,6 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, featurise: Callable
     """
     known = labels.select(F.col("doc_id").alias("doc_id"), label.cast("int").alias("__y")).where("doc_id is not null and __y is not null")
     known = known.groupBy("doc_id").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample)
+    # training is one task, but finding its rows isn't: they are shuffled to it, p.sample at most
     # at most p.sample rows of two numbers: safe to send to every task whatever the size of the tables
     chosen = docs.select("doc_id", *columns).join(F.broadcast(known), "doc_id").select("__y", *columns)
 
@@ -186,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, featurise: Callable
             model.cut = pick_cut(trial.score(_rows(f, np.flatnonzero(held))), t[held])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = chosen.coalesce(1).mapInArrow(learn, T.StructType([T.StructField("model", T.BinaryType())])).collect()
+    found = chosen.repartition(1).mapInArrow(learn, T.StructType([T.StructField("model", T.BinaryType())])).collect()
     return pickle.loads(found[0].model) if found else fit(Features(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0)), np.empty(0), p)
 
 

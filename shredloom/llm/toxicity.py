@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def features(batch: pa.RecordBatch, known: fm.Model | None = None) -> fm.Feature
     return fm.Features(np.concatenate(first), b, np.ones(len(b)))
 
 
-_LENGTHS = np.array([hash((i, 7919)) & ((1 << PARAMS.bits) - 1) for i in range(64)], np.int64)
+_LENGTHS = np.array([xxhash.xxh3_64_intdigest(f"length={i}") & ((1 << PARAMS.bits) - 1) for i in range(64)], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, params: fm.Params = PARAMS) -> fm.Model:
@@ -68,8 +69,9 @@ def train(docs: DataFrame, labels: DataFrame, params: fm.Params = PARAMS) -> fm.
 def toxic_documents(docs: DataFrame, model: fm.Model) -> DataFrame:
     """(doc_id, toxicity, toxic) of every document whose toxicity reaches the model's cut.
 
-    A null or empty text is not toxic. Repeated rows give repeated results. Other columns of ``docs`` are
-    ignored, whatever their names. Without labelled rows of both classes nothing is found.
+    A null or empty text is not toxic; a text of any length is scored whole. Repeated rows give repeated results, a null
+    id passes through. Other columns of ``docs`` are ignored, whatever their names. An empty table gives none, and
+    without labelled rows of both classes nothing is found.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

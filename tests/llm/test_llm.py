@@ -118,6 +118,62 @@ def test_toxicity_learns_a_partner_without_effect_of_its_own():
     assert hit[kind == 2].mean() > 0.95 and hit[kind == 1].mean() < 0.05 and hit[kind == 0].mean() < 0.01
 
 
+def slow_score(model, f):
+    """Scores of a factorisation machine pair by pair."""
+    at = {b: i for i, b in enumerate(model.bucket.tolist())}
+    out = []
+    for lo, hi in zip(f.first[:-1], f.first[1:]):
+        known = [(at[b], x) for b, x in zip(f.bucket[lo:hi].tolist(), f.x[lo:hi].tolist()) if b in at]
+        raw = model.bias + sum(model.w[i] * x for i, x in known)
+        raw += sum(model.v[i] @ model.v[j] * x * y for n, (i, x) in enumerate(known) for j, y in known[:n])
+        out.append(1 / (1 + math.exp(-min(30, max(-30, raw)))))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("share", [0.5, 0.2])
+def test_pairs_without_any_effect_of_their_own_are_learned(share):
+    """Neither word tells anything alone: with either one of the two half of the rows are toxic, by the other one."""
+    rng = random.Random(2)
+
+    def rows(n):
+        texts, y = [], []
+        for _ in range(n):
+            w = [f"w{rng.randrange(300)}" for _ in range(10)]
+            a, b = rng.random() < share, rng.random() < 0.5
+            w[2:2] = ["alpha"] * a + ["omega"] * b
+            texts.append(" ".join(w))
+            y.append(float(a != b) if share == 0.5 else float(a and b) if a else float(rng.random() < 0.5))
+        return pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), np.array(y), np.array([" alpha" in t or t.startswith("alpha") for t in texts])
+
+    batch, y, _ = rows(6000)
+    model = fm.fit(toxicity.features(batch), y, toxicity.PARAMS)
+    batch, y, has = rows(2000)
+    hit = model.score(toxicity.features(batch)) >= 0.5
+    told = np.ones(len(y), bool) if share == 0.5 else has
+    assert (hit == (y == 1))[told].mean() > 0.97
+
+
+def test_classifier_queries_score_as_pair_by_pair(spark, labelled):
+    docs, labels = labelled
+    batch = docs.select("doc_id", "text", "lang", "source").where("doc_id < 60 or doc_id in (400, 401)").orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    tox, low = toxicity.train(docs, labels), quality.train(docs, labels)
+    slow = slow_score(tox, toxicity.features(batch))
+    got = {r.doc_id: r.toxicity for r in toxicity.toxic_documents(docs, tox).collect()}
+    assert {i: round(p, 6) for i, p in zip(batch.column("doc_id").to_pylist(), slow.tolist()) if p >= tox.cut and i < 60} == pytest.approx({i: p for i, p in got.items() if i < 60})
+    slow = slow_score(low, quality.features(batch))
+    got = {r.doc_id: r.quality for r in quality.kept_documents(docs, low).collect()}
+    assert {i: round(1 - p, 6) for i, p in zip(batch.column("doc_id").to_pylist(), slow.tolist()) if p <= low.cut} == pytest.approx({i: p for i, p in got.items() if i < 60 or i in (400, 401)})
+
+
+def test_classifiers_read_documents_in_many_tasks(spark, labelled):
+    docs, labels = labelled
+    seen = []
+    spread = docs.repartition(6).withColumn("task", F.spark_partition_id())
+    assert len({r.task for r in spread.select("task").distinct().collect()}) == 6
+    plain, many = toxicity.train(docs.coalesce(1), labels), toxicity.train(spread, labels)
+    assert plain.bias == many.bias and (plain.bucket == many.bucket).all() and np.allclose(plain.v, many.v), seen
+
+
 # --- personal data
 
 
