@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shredloom.llm.text import unused
 from shredloom.session import materialize
 
 MIN_SITES = 3
@@ -23,7 +24,11 @@ def _lines(text: Column) -> Column:
 
 def _key(line: Column) -> Column:
     # 128 bits: at 10^12 different lines a shared key is still improbable
-    return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.trim(line), F.lit(1)).alias("b"))
+    return F.struct(F.xxhash64(_bare(line)).alias("a"), F.xxhash64(_bare(line), F.lit(1)).alias("b"))
+
+
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\r"))
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +36,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
     Null sources are no site; documents without an id count for the spread but keep no line.
     """
-    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
+    keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: _bare(x) != ""), _key))
     lines = materialize(
         docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("source").alias("__site"), F.col("source").isNull().alias("__none"), F.explode(keys).alias("__key"))
         .select("__doc", F.when(~F.col("__none"), F.col("__site")).alias("__site"), "__key.a", "__key.b"),
@@ -53,35 +58,38 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with wide-spread lines cut from all but the first document; same columns, ``n_chars`` kept true.
 
-    Lines are compared without spaces around them; blank lines never count and stay. A null text stays null, an
-    empty one empty. A document without id stays as it is. Rows that repeat an id count as one document. With
-    ``drop_emptied``, documents that had text and lost all of it go. Other columns pass, whatever their names.
+    Lines are compared without spaces, tabs and carriage returns around them; blank lines never count and stay. A null
+    text stays null, an empty one empty, and one of any length is taken whole. A document without id stays as it is.
+    Rows that repeat an id count as one document: all of them keep the line, or none. With ``drop_emptied``, documents that
+    had text and lost all of it go. An empty table stays empty. Other columns pass, whatever their names.
     """
+    doc, gone, new = (unused(docs.columns, name) for name in ("doc", "cut", "text"))
     lines, wide = spread_lines(docs, min_sites, lg_k)
     cut = (
         lines.join(wide, ["a", "b"]).where("__doc is not null and __doc <> __first")
-        .groupBy("__doc").agg(F.collect_set(F.struct("a", "b")).alias("__cut"))
+        .groupBy(F.col("__doc").alias(doc)).agg(F.collect_set(F.struct("a", "b")).alias(gone))
     )
-    joined = docs.join(cut, docs["doc_id"] == F.col("__doc"), "left")
-    kept = F.filter(_lines(docs["text"]), lambda x: ~F.array_contains(F.col("__cut"), _key(x)) | (F.trim(x) == ""))
-    text = F.when(F.col("__cut").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
-    joined = joined.withColumn("__text", text)
+    joined = docs.join(cut, F.col("doc_id") == F.col(doc), "left")
+    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col(gone), _key(x)) | (_bare(x) == ""))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = joined.withColumn(new, text)
     if drop_emptied:
-        joined = joined.where(F.col("__cut").isNull() | (F.trim(F.translate("__text", "\n", "")) != ""))
-    out = {"text": F.col("__text")}
+        joined = joined.where(F.col(gone).isNull() | (_bare(F.translate(new, "\n", "")) != ""))
+    out = {"text": F.col(new)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__cut").isNull(), docs["n_chars"]).otherwise(F.length("__text")).cast(docs.schema["n_chars"].dataType)
-    return joined.select(*[out.get(c, docs[f"`{c}`"]).alias(c) for c in docs.columns])
+        out["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
+_BARE = "trim(line, chr(32) || chr(9) || chr(13))"
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
 ), wide AS (
-  SELECT trim(line) AS line, min(doc_id) AS first FROM lines WHERE trim(line) <> ''
+  SELECT {_BARE} AS line, min(doc_id) AS first FROM lines WHERE {_BARE} <> ''
   GROUP BY 1 HAVING count(DISTINCT source) >= {MIN_SITES}
 ), kept AS (
-  SELECT l.doc_id, l.line, l.pos FROM lines l LEFT JOIN wide w ON trim(l.line) = w.line
+  SELECT l.doc_id, l.line, l.pos FROM lines l LEFT JOIN wide w ON {_BARE.replace('line', 'l.line')} = w.line
   WHERE w.line IS NULL OR w.first = l.doc_id
 ), texts AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM kept GROUP BY doc_id

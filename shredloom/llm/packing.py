@@ -151,7 +151,12 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Windows of the documents' texts, by :func:`pack` over :func:`word_counts`."""
+    """Windows of the documents' texts, by :func:`pack` over :func:`word_counts`.
+
+    Null, empty and blank texts are in no window; a text longer than a window is cut into full ones and a rest. Documents
+    with null ids are packed under a null id, those that repeat an id as often as they occur; the order of rows doesn't
+    matter. An empty table gives no windows; other columns are ignored, whatever their names.
+    """
     from shredloom.session import materialize
 
     return pack(materialize(word_counts(docs), "lengths"), capacity, shard_tokens)

@@ -101,8 +101,9 @@ def _low(batch: pa.RecordBatch, model: fm.Model) -> np.ndarray:
 def quality_filter(docs: DataFrame, model: fm.Model) -> DataFrame:
     """The documents that the model doesn't reject, with all their columns, in one pass without a shuffle.
 
-    A null or empty text is judged by its statistics and metadata. Without labelled rows of both classes
-    nothing is rejected. Extra columns, whatever their names, are passed through.
+    A null or empty text is judged by its statistics and metadata, one of any length as a whole. Repeated rows are judged
+    each, and alike; an empty table stays empty. Without labelled rows of both classes nothing is rejected. Extra columns,
+    whatever their names, are passed through.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,9 @@ parses the WARC header first, then, only for records that passed, the HTTP heade
 content) only payloads of records that passed both. With option ``payload=false`` no payload is decoded at all.
 
 Options: ``path`` (file, folder or several, separated by commas), ``payload``, ``partitionbytes``, ``mode``
-(``permissive``: look for the next record after a malformed one; ``failfast``: raise).
+(``permissive``: look for the next record after a malformed one, and go on behind damaged or cut-off compression;
+``failfast``: raise). No files or empty ones give no rows; repeated records come as often as they occur; a payload is held
+whole, whatever its length, and batches are cut by bytes; headers that a record lacks are null.
 """
 
 from __future__ import annotations
@@ -100,6 +102,45 @@ def _decoded(body: bytes, header: dict[str, str]) -> bytes:
     return body
 
 
+class Members(io.RawIOBase):
+    """Gzip members one after another; what comes before damage is given, and the next member is looked for behind it."""
+
+    def __init__(self, raw: io.BufferedIOBase, failfast: bool) -> None:
+        self.raw, self.failfast = raw, failfast
+        self.held, self.ready, self.member = b"", b"", None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer: memoryview) -> int:
+        while not self.ready:
+            if not self.held:
+                self.held = self.raw.read(1 << 16)
+                if not self.held:
+                    if self.failfast and self.member:
+                        raise EOFError("the last gzip member is cut off")
+                    return 0
+            if self.member is None:
+                at = self.held.find(b"\x1f\x8b")
+                if self.failfast and self.held[: max(at, 0)].strip(b"\0"):
+                    raise ValueError("no gzip member")
+                self.held = self.held[at:] if at >= 0 else b""
+                self.member = zlib.decompressobj(31) if self.held else None
+                continue
+            try:
+                self.ready = self.member.decompress(self.held, 1 << 20)
+                self.held = self.member.unconsumed_tail
+                if self.member.eof:
+                    self.held, self.member = self.member.unused_data, None
+            except zlib.error:
+                if self.failfast:
+                    raise
+                self.held, self.member = self.held[2:], None
+        n = min(len(buffer), len(self.ready))
+        buffer[:n], self.ready = self.ready[:n], self.ready[n:]
+        return n
+
+
 class WarcReader(ds.DataSourceReader):
     def __init__(self, options: dict) -> None:
         path = options.get("path") or ""
@@ -168,7 +209,7 @@ class WarcReader(ds.DataSourceReader):
         with system.open_input_stream(path, compression=None, buffer_size=1 << 20) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
             if stream.peek(2)[:2] == b"\x1f\x8b":
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20)
+                stream = io.BufferedReader(Members(stream, self.failfast), 1 << 20)
             while True:
                 line = stream.readline()
                 if not line:
@@ -185,6 +226,8 @@ class WarcReader(ds.DataSourceReader):
                 header = _parse_header(lines)
                 try:
                     length = int(header["content-length"])
+                    if length < 0:
+                        raise ValueError
                 except (KeyError, ValueError):
                     if self.failfast:
                         raise ValueError(f"{uri}: a record has no valid Content-Length") from None
@@ -261,7 +304,8 @@ def write_pages(pages: DataFrame, folder: str) -> int:
     """Write (page_id, url, html) as gzipped WARC files, one for each partition, and return the number of responses.
 
     Each page makes a request and a response record. A null URL gives records without a target; a null page an empty
-    payload; rows with a null id are not written. A file appears whole or not at all, also if its task is repeated.
+    payload; rows with a null id are not written; rows that repeat an id are written each; an empty table gives files without
+    pages; other columns are ignored. A file appears whole or not at all, also if its task is repeated.
     """
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

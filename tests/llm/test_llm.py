@@ -521,6 +521,84 @@ def test_windows_hold_every_token_once(spark, rng):
     assert packing.pack_documents(documents(spark, [None])).count() == 0
 
 
+# --- cases that all operators state
+
+CLASHING = ("__doc", "__cut", "__text", "__gone", "__key", "size", "id", "a", "b", "key", "root", "block", "row", "place", "proj")
+
+
+def clashing(df):
+    """The table with columns of names that operators might use inside."""
+    return df.select("*", *[F.lit("x").alias(c) for c in CLASHING if c not in df.columns])
+
+
+def test_operators_take_clashing_names(spark, rng):
+    line = "shared line of text"
+    texts = [f"{sentence(rng, 40)}\n{line}" for _ in range(4)]
+    docs = clashing(documents(spark, [*texts, texts[0], None, ""], ["a", "b", "c", "d", "a", "a", None]))
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == docs.columns and sum(line in (r.text or "") for r in out.collect()) == 1
+    kept = near_dup.near_dedup(docs)
+    assert kept.columns == docs.columns and kept.count() == 6
+    bench = clashing(spark.createDataFrame([(0, texts[1])], "item_id bigint, text string"))
+    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == {1}
+    assert decontaminate.decontaminate(docs, bench).columns == docs.columns
+    assert packing.pack_documents(docs, 64).count() > 0 and pii.find_pii(docs).count() == 0
+    shards, total = ngram_lm.index(docs)
+    assert ngram_lm.score(docs, ["doc_id"], shards, total, own="doc_id").count() == 7
+
+
+def test_line_ends_and_repeated_ids(spark):
+    docs = documents(spark, ["wide\r\nx", "\twide", "wide \r"], ["a", "b", "c"])
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(docs.unionByName(docs)).collect()}
+    assert out == {0: "wide\r\nx", 1: "", 2: ""}
+
+
+def test_warc_cut_off_compression_and_negative_lengths(spark, tmp_path):
+    record = warc._record("response", "<urn:page:1>", "http://x/", "text/html", b"hello" * 50)
+    bad = record.replace(b"Content-Length: 250", b"Content-Length: -5")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(bad) + gzip.compress(record) + gzip.compress(record)[:-60])
+    warc.register(spark)
+    rows = spark.read.format("warc").load(f"file://{tmp_path}").collect()
+    assert len(rows) >= 2 and all(bytes(r.payload) == b"hello" * 50 for r in rows[:2])
+    with pytest.raises((EOFError, ValueError)):
+        reader = warc.WarcReader({"path": str(tmp_path), "mode": "failfast"})
+        list(reader.read(reader.partitions()[0]))
+
+
+def test_pii_takes_time_in_proportion():
+    import time
+
+    def took(n):
+        text = " ".join(f"+1 555 123 {i:04d}" for i in range(n))
+        began = time.perf_counter()
+        assert len(pii.detect(text)) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(8000) < 16 * max(took(2000), 0.02)
+
+
+def test_pii_of_nothing(spark):
+    assert pii.find_pii(documents(spark, [])).count() == 0 and pii.find_pii(documents(spark, [None, ""])).count() == 0
+
+
+def test_packing_is_the_same_in_any_order(spark, rng):
+    docs = documents(spark, [sentence(rng, n) for n in (5, 70, 5, 12, 33, 64, 2)])
+    docs = docs.unionByName(docs.where("doc_id = 3")).unionByName(docs.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    one, other = ({tuple(r.doc_ids + r.token_starts) for r in packing.pack_documents(d, 32).collect()} for d in (docs, docs.orderBy(F.desc("text")).repartition(5)))
+    assert one == other and any(None in x for x in one)
+
+
+def test_passes_of_items_find_the_same(spark, rng, monkeypatch):
+    items = [sentence(rng, 20, 3000) for _ in range(6)]
+    docs = documents(spark, [f"{sentence(rng, 30, 3000)} {i}" for i in items] + [sentence(rng, 60, 3000), None])
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    whole = sorted(decontaminate.leaks(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "passes", lambda b, one=decontaminate.passes: one(b, 40))
+    assert sorted(decontaminate.leaks(docs, bench).collect()) == whole and len(whole) == 6
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {6, 7}
+
+
 # --- pipeline
 
 
