@@ -8,7 +8,7 @@ import sys
 from pathlib import Path
 
 from shredloom import __version__
-from shredloom.config import PRESETS, Options, conflicts, for_file, with_mode
+from shredloom.config import PRESETS, conflicts, with_mode
 from shredloom.naming import index_identifier, table_identifier
 
 
@@ -18,56 +18,32 @@ def _json(path: str) -> dict:
 
 def run_json(args: argparse.Namespace) -> int:
     """Read, shred and write Parquet tables; saves a run report beside them."""
-    from shredloom.operators.reports import RunReport, reject_rows, throughput, write_quarantine
-    from shredloom.operators.shred import shred
-    from shredloom.operators.sinks import write_parquet
+    from shredloom import run
     from shredloom.session import local_session
-    from shredloom.sources.records import read_raw
 
-    options, stages = with_mode(_json(args.config), args.mode, index_key=args.index_key, max_records=args.max_records, except_keys=args.except_key, file_names=args.input or None, out_path=args.out)
+    given = {"index_key": args.index_key, "max_records": args.max_records, "except_keys": args.except_key, "file_names": args.input or None, "out_path": args.out}
+    config = _json(args.config)
+    options, _ = with_mode(config, args.mode, **given)
     if problems := conflicts(options):
         print("\n".join(problems), file=sys.stderr)
         return 2
-    report = RunReport()
     spark = local_session(args.cores)
-    base = options.table_name or "base"
-    with report.timer("pipeline.json.total"):
-        raw = read_raw(spark, options)
-        with report.timer("json.flatten"):
-            shredded = shred(raw.records, options.index_key, options.except_keys, options.KEY_SEP, expand=options.excepted_expand_dict, compat=options.compat)
-            tables = shredded.tables(base)
-        for w in shredded.plan.warnings:
-            report.warn("json.flatten", w)
-        if args.dry_run or not stages["load"]:
-            print(json.dumps({t: df.columns for t, df in tables.items()}, indent=2))
-        else:
-            out = options.out_path or f"runs/{base}_{report.run_id}"
-            with report.timer("io.parquet"):
-                report.set_artifact("paths", write_parquet(tables, f"{out}/parquet"))
-            write_quarantine(reject_rows(raw.rejects), f"{out}/quarantine")
-        report.bump("records_read", raw.records.count())
-        report.bump("tables_total", len(tables))
-    report.set_artifact("throughput", throughput(report.stats, report.timings_ms))
-    report.finish()
-    if not args.dry_run:
-        report.save(f"{options.out_path or 'runs/' + base + '_' + report.run_id}/report.json")
+    report = run.run_json(spark, config, args.mode, dry_run=args.dry_run, **given)
+    if args.dry_run:
+        print(json.dumps(report.artifacts["columns"], indent=2))
+    else:
+        report.save(f"{options.out_path or 'runs/' + (options.table_name or 'base') + '_' + report.run_id}/report.json")
     spark.stop()
     return 0
 
 
 def run_tabular(args: argparse.Namespace) -> int:
     """Profile a file, print its DDL, and write it as Parquet."""
-    from shredloom.operators.profile import create_table, profile
+    from shredloom import run
     from shredloom.session import local_session
-    from shredloom.sources.tabular import read_table
 
-    options = for_file(args.input, Options.of(_json(args.config)))
     spark = local_session(args.cores)
-    df = read_table(spark, options)
-    rows = [r.asDict() for r in profile(df, options.KEYs).collect()]
-    print(create_table(table_identifier(options.table_name), rows))
-    if args.out:
-        df.write.mode("overwrite").parquet(args.out)
+    print(run.run_tabular(spark, args.input, _json(args.config), args.out)[0])
     spark.stop()
     return 0
 

@@ -110,13 +110,19 @@ def with_mode(config: Mapping[str, Any], mode: str | None, **cli: Any) -> tuple[
         raise ValueError(f"unknown mode {name!r}; there are {', '.join(PRESETS)}")
     stages, preset = PRESETS[name]
     given = {k: v for k, v in cli.items() if v is not None}
-    return Options.of({**config, **preset, **given}), {s: s in stages for s in STAGES}
+    options = Options.of({**config, **preset, **given})
+    # what was asked for in so many words, not set by a mode: only that can contradict something
+    asked = Options.of({**config, **given}).to_dict()
+    options.extra["explicit_alter"] = bool(asked["schema_alter"]) and "schema_alter" in {**config, **given}
+    options.extra["explicit_streaming"] = bool(asked["json_streaming_load"])
+    options.extra["explicit_parquet"] = bool({*config, *given} & {"persist_parquet_files", "save_local_files"}) and bool(asked["persist_parquet_files"])
+    return options, {s: s in stages for s in STAGES}
 
 
-def conflicts(options: Options, streaming_asked: bool = False) -> list[str]:
+def conflicts(options: Options) -> list[str]:
     """Combinations that contradict each other."""
     found = []
-    if options.json_streaming_load and options.persist_parquet_files and streaming_asked:
+    if options.json_streaming_load and options.persist_parquet_files and options.extra.get("explicit_streaming") and options.extra.get("explicit_parquet"):
         found.append("row-wise streaming and Parquet artifacts exclude each other")
     if options.persist_tsv_files and not options.json_streaming_load:
         found.append("TSV artifacts need row-wise streaming")

@@ -6,12 +6,14 @@ Parquet and the Spark catalog are the primary targets. JDBC is optional and unte
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from shredloom.functions.scalars import as_text, escape_field, quote_name
 from shredloom.naming import NameMap
@@ -53,11 +55,35 @@ def save_table(df: DataFrame, name_map: NameMap, mode: str = "append") -> None:
     columns = spark.table(table).columns
     shaped = with_columns_of(named, columns)
     kinds = {f.name: f.dataType for f in spark.table(table).schema}
-    shaped.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) for c in columns]).write.insertInto(table)
+    _widen(shaped, table, kinds)
+    kinds = {f.name: f.dataType for f in spark.table(table).schema}
+    shaped.select(*[F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in columns]).write.insertInto(table)
+
+
+def _widen(df: DataFrame, table: str, kinds: Mapping[str, DataType]) -> None:
+    """Make those columns of the table text that can't hold what ``df`` brings: nothing is lost without a word.
+
+    The table is written anew only then, beside the old one, and takes its name.
+    """
+    spark = df.sparkSession
+    other = [c for c, k in kinds.items() if df.schema[c].dataType != k and k.simpleString() != "string"]
+    if not other:
+        return
+    misfits = df.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").cast("string").try_cast(kinds[c]).isNull()).alias(c) for c in other]).first()
+    wide = [c for c in other if misfits[c]]
+    if wide:
+        beside = f"{table}__wide"
+        spark.sql(f"DROP TABLE IF EXISTS {quote_name(beside)}")
+        spark.table(table).select(*[F.col(f"`{c}`").cast("string").alias(c) if c in wide else F.col(f"`{c}`") for c in kinds]).write.format("parquet").saveAsTable(beside)
+        spark.sql(f"DROP TABLE {quote_name(table)}")
+        spark.sql(f"ALTER TABLE {quote_name(beside)} RENAME TO {quote_name(table)}")
 
 
 def create_from_profile(spark: SparkSession, table: str, rows: list[Mapping]) -> str:
-    """The SQL text of CREATE TABLE for a profile."""
+    """Create a Parquet table with the columns and Spark types of a profile, if it isn't there; returns the SQL text of its DDL."""
+    kinds = {"BIGINT": "bigint", "INT": "bigint", "TINYINT": "bigint", "SMALLINT": "bigint", "DOUBLE": "double", "FLOAT": "double", "BOOLEAN": "boolean", "DATETIME": "timestamp"}
+    columns = [f"{quote_name(r['column'])} {kinds.get(re.match('[A-Z]*', str(r['Type']))[0], 'string')}" for r in rows]
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {quote_name(table)} ({', '.join(columns)}) USING parquet")
     return create_table(table, rows)
 
 
@@ -69,7 +95,8 @@ def drop_tables(spark: SparkSession, names: list[str]) -> None:
 def compact(spark: SparkSession, path: str, target: str, key: str | None = None, bytes_per_file: int = 256 << 20) -> int:
     """Rewrite a Parquet folder with fewer files, sorted by the key within each; returns the number of files."""
     df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(path)
-    size = sum(Path(f.removeprefix("file://")).stat().st_size for f in df.inputFiles() if f.startswith("file:"))
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
     files = max(1, -(-size // bytes_per_file))
     out = df.repartitionByRange(files, key).sortWithinPartitions(key) if key else df.repartition(files)
     out.write.mode("overwrite").parquet(target)

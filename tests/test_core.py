@@ -295,3 +295,32 @@ def test_streaming(spark, tmp_path):
 def test_cli(capsys):
     assert cli.main(["version"]) == 0 and cli.main(["modes"]) == 0 and cli.main(["table-name", "x"]) == 0
     assert "finalize" in capsys.readouterr().out
+
+
+def test_save_table_widens_columns_that_do_not_fit(spark):
+    spark.sql("DROP TABLE IF EXISTS t_wide")
+    for rows in ([(1, 5)], [(2, None)]):
+        df = spark.createDataFrame(rows, "id bigint, n int")
+        sinks.save_table(df, naming.NameMap.build("t_wide", df.columns))
+    df = spark.createDataFrame([(3, "seven"), (4, "8")], "id bigint, n string")
+    sinks.save_table(df, naming.NameMap.build("t_wide", df.columns))
+    assert {(r.id, r.n) for r in spark.table("t_wide").collect()} == {(1, "5"), (2, None), (3, "seven"), (4, "8")}
+    sinks.drop_tables(spark, ["t_wide"])
+
+
+def test_run_json_options(spark, tmp_path):
+    import json
+
+    from shredloom import run
+
+    (tmp_path / "a.jsonl").write_text("\n".join(json.dumps({"id": i, "map": {f"k{i}_{j}": j for j in range(3)}, "stable": {"a": 1}, "items": [{"x": i}]}) for i in range(30)) + "\nnot json\n")
+    config = {"file_glob": f"{tmp_path}/*.jsonl", "table_name": "b", "auto_except": True, "auto_except_unique_keys": 10, "auto_except_min_observations": 5, "auto_except_novelty": 1.0}
+    report = run.run_json(spark, {**config, "out_path": f"{tmp_path}/o", "persist_tsv_files": True, "json_streaming_load": True})
+    assert report.artifacts["except_keys"] == ["map"] and report.stats["records_read"] == 30 and report.stats["tsv_files_persisted"] == 3
+    assert set(report.artifacts["columns"]) == {"b", "b__items", "b__excepted__map"}
+    cursor = {"resume_cursor": {"source_path": str(tmp_path / "a.jsonl"), "line_no": 25}, "out_path": f"{tmp_path}/r"}
+    assert run.run_json(spark, {**config, **cursor}).stats["records_read"] == 5
+    own = run.run_json(spark, config, extract=lambda records, options: {"mine": records.select("record_index")}, out_path=f"{tmp_path}/x")
+    assert own.stats == {"tables_total": 1, "rows_emitted": 30} and own.artifacts["columns"] == {"mine": ["record_index"]}
+    with pytest.raises(ValueError, match="frozen"):
+        run.run_json(spark, config, "ingest-fast-freeze", schema_alter=True)

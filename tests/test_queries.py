@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from shredloom.plans import roster
+from shredloom.plans import roster, roster_io  # noqa: F401
 
 FOLDER = Path("/root/testdata/sf0.001")
-NAMES = ("shred_mixed_shapes", "events_props", "except_bare_name", "hybrid_extra", "profile_customer", "branch_vote", "union_view", "quarantine_summary", "report_diff", "review_diff_columns", "id_fallback_index")
+NAMES = ("shred_mixed_shapes", "events_props", "except_bare_name", "hybrid_extra", "profile_customer", "branch_vote", "union_view", "quarantine_summary", "report_diff", "review_diff_columns", "id_fallback_index", "source_json_lines", "source_gzip_lines", "source_numbering", "source_delimited", "sink_tsv", "sink_parquet_batches", "stream_micro_batches", "json_run")
 
 
 def plain(v):
