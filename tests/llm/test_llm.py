@@ -293,6 +293,21 @@ def test_near_duplicates_hold_much_smaller_documents(spark):
     assert {r.doc_id for r in near_dup.near_dedup(documents(spark, texts)).collect()} == {*range(6), 12, 14, 15}
 
 
+def test_near_duplicates_try_more_than_the_largest_of_those_that_share_frequent_shingles(spark):
+    rng = random.Random(9)
+    text = [f"a{i}" for i in range(300)]
+    parts = [" ".join(text[i : i + 3]) for i in range(298)]
+    values, _ = near_dup.shingle_sets(next(near_dup.groups(pa.array(parts))))
+    assert len(values) == 298
+    each = [near_dup.shingle_sets(next(near_dup.groups(pa.array([p]))))[0][0] for p in parts]
+    sampled = [parts[i] for i in np.argsort(each)[: near_dup.SAMPLE]]
+    # all of these hold what is sampled of the text, but only the smallest holds the text
+    larger = [" ".join(f"{p} {sentence(rng, 60, 90_000)}" for p in sampled) for _ in range(near_dup.HOT + 6)]
+    texts = [" ".join(text), f"{' '.join(text)} {sentence(rng, 400, 90_000)}", *larger]
+    docs = documents(spark, texts)
+    assert {r.doc_id: r.group_id for r in near_dup.near_duplicates(docs).collect()} == {0: 1, 1: 1}
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = documents(spark, [None, ""])
     assert near_dup.near_duplicates(docs).count() == 0 and near_dup.near_dedup(docs.where("false")).count() == 0
