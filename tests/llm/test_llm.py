@@ -308,6 +308,14 @@ def test_near_duplicates_try_more_than_the_largest_of_those_that_share_frequent_
     assert {r.doc_id: r.group_id for r in near_dup.near_duplicates(docs).collect()} == {0: 1, 1: 1}
 
 
+def test_slots_of_shingles_keep_small_values_apart():
+    rng = np.random.default_rng(4)
+    few, all_ = rng.integers(0, 1 << 42, 100_000).astype(np.int64), rng.integers(0, 1 << 48, 100_000).astype(np.int64)
+    taken = np.zeros(1 << 20, bool)
+    taken[near_dup._places(few, 20)] = True
+    assert taken[near_dup._places(few, 20)].all() and taken[near_dup._places(all_, 20)].mean() < 0.03  # 0.09 without regions
+
+
 def test_near_duplicates_of_nothing(spark):
     docs = documents(spark, [None, ""])
     assert near_dup.near_duplicates(docs).count() == 0 and near_dup.near_dedup(docs.where("false")).count() == 0
