@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shredloom.llm.text import segment_sums
+from shredloom.session import batches_of
+
+BATCH_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -94,6 +97,10 @@ class Model:
 def _raw(bias: float, w: np.ndarray, v: np.ndarray, x: np.ndarray, first: np.ndarray) -> np.ndarray:
     vx = v * x[:, None]
     pairs = (segment_sums(vx, first) ** 2 - segment_sums(vx**2, first)).sum(1) / 2
+    return _linear(bias, w, x, first, pairs)
+
+
+def _linear(bias: float, w: np.ndarray, x: np.ndarray, first: np.ndarray, pairs: np.ndarray | float = 0.0) -> np.ndarray:
     return np.clip(bias + segment_sums(w * x, first) + pairs, -30, 30)
 
 
@@ -115,7 +122,8 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
     to[used] = np.arange(len(used))
     at = to[f.bucket]
     keep = np.flatnonzero(at >= 0)
-    first, at, x = np.searchsorted(keep, f.first), at[keep], f.x[keep]
+    first, at, x = np.searchsorted(keep, f.first), at[keep].astype(np.int32), f.x[keep]
+    del keep
     rng = np.random.default_rng(p.seed)
     m, k = len(used), p.factors
     w, v = np.zeros(m), np.zeros((m, k))
@@ -128,7 +136,7 @@ def fit(f: Features, y: np.ndarray, p: Params) -> Model:
         if epoch == p.epochs:
             anchor = w != 0
             v[anchor] = rng.normal(0, 0.05, (int(anchor.sum()), k))
-            left = y - 1 / (1 + np.exp(-_raw(bias, w[at], v[at] * 0, x, first)))
+            left = y - 1 / (1 + np.exp(-_linear(bias, w[at], x, first)))  # factors of all entries at once would take most of the memory
             for i, j, sign in zip(*_pairs(first, at, left, np.flatnonzero(rows[used] >= max(p.min_rows, p.pair_share * n)), p.pair_screen)):
                 way = rng.normal(size=k)
                 way *= 0.7 / np.sqrt((way**2).sum())
@@ -230,6 +238,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, featurise: Callable
         if not y:
             return
         f, t = Features(np.concatenate(first), np.concatenate(bucket), np.concatenate(x)), np.concatenate(y).astype(float)
+        del b, first, bucket, x
         # the order in which rows arrive differs between runs: put them in an order of their own
         order = _order(f, t)
         f, t = _rows(f, order), t[order]
@@ -242,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, featurise: Callable
             model.cut = pick_cut(trial.score(_rows(f, np.flatnonzero(held))), t[held])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = chosen.repartition(1).mapInArrow(learn, T.StructType([T.StructField("model", T.BinaryType())])).collect()
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        found = chosen.repartition(1).mapInArrow(learn, T.StructType([T.StructField("model", T.BinaryType())])).collect()
     return pickle.loads(found[0].model) if found else fit(Features(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0)), np.empty(0), p)
 
 

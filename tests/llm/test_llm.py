@@ -5,6 +5,7 @@ import gzip
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,17 @@ def test_pairs_without_any_effect_of_their_own_are_learned(share):
     assert (hit == (y == 1))[told].mean() > 0.97
 
 
+def test_training_memory_does_not_hold_the_factors_of_all_entries():
+    rng, n, k = np.random.default_rng(3), 2000, 500
+    f = fm.Features(np.arange(n + 1) * k, rng.integers(0, 5000, n * k), np.ones(n * k))
+    y = (rng.random(n) < 0.3).astype(float)
+    tracemalloc.start()
+    fm.fit(f, y, fm.Params(epochs=1, factor_epochs=1, pair_share=0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+
+
 def test_classifier_queries_score_as_pair_by_pair(spark, labelled):
     docs, labels = labelled
     batch = docs.select("doc_id", "text", "lang", "source").where("doc_id < 60 or doc_id in (400, 401)").orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
