@@ -20,10 +20,18 @@ binary searches.
 
 Texts to score are taken in blocks. Every block meets every shard, in ``SPLIT`` tasks that each take a share of the
 shards one after another; so memory stays bounded by one shard and one block, and only texts to score are shuffled.
+
+Where the texts to score are known beforehand, :func:`scores` gives the same without an index of the whole corpus, as blocks
+times shards would grow with the square of the input. One pass over the corpus counts its n-grams of under ``DEEP`` words
+that the texts have, and takes out its passages: longest stretches of which every ``DEEP`` words in a row occur in the texts.
+An occurrence of ``DEEP`` words or more of a text lies in just one passage, whole. So shorter matches are looked up in the
+counts, and only longer ones in suffix arrays, of the passages alone. A bit for each hash of the texts' n-grams, sent to
+all tasks, says what may occur; hashes that fall together there cost rows and words, but count for nothing.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,11 +44,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shredloom.llm.text import _power, groups, lowered, mix, words
-from shredloom.session import materialize, shared_dir
+from shredloom.session import batches_of, materialize, shared_dir
 
 SHARD_CHARS = 30_000_000
 BLOCK_CHARS = 4_000_000
 SPLIT = 8
+DEEP = 6
+SHARD_WORDS = 2_000_000
+ROWS = 1000
+HELD_BITS = 30
+HELD_SLICE = 20
+COUNTS = 2_000_000
+BROADCAST_IDS = 4_000_000
 ALPHA = 2.0
 VOCABULARY = 1 << 20
 
@@ -195,10 +210,11 @@ class Own:
         return np.searchsorted(self.keys, base + hi) - np.searchsorted(self.keys, base + lo)
 
 
-def longest(shard: Shard, hashes: np.ndarray, first: np.ndarray, doc: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def longest(shard: Shard, hashes: np.ndarray, first: np.ndarray, doc: np.ndarray | None = None, some: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every position of the reversed texts: longest match from there on, its count, and its first word's count.
 
     With ``doc``, the hash of each text's id, texts of that id in the shard don't count; last is how many words they have.
+    With ``some``, matches are sought from its positions only; at others they end after a word.
     """
     n, v = len(hashes), len(shard.vocabulary)
     own = Own(shard, first, doc)
@@ -215,7 +231,7 @@ def longest(shard: Shard, hashes: np.ndarray, first: np.ndarray, doc: np.ndarray
     length, count = (ones > 0).astype(np.int64), ones.copy()
     low, high = begins[ids], begins[ids] + each[ids]
     padded = np.concatenate([ids, np.zeros(depth, ids.dtype)])
-    live = np.flatnonzero(ones > 0)
+    live = np.flatnonzero(ones > 0 if some is None else (ones > 0) & some)
     prefix = ids[live].astype(np.uint64)
     for d in range(1, depth):
         follow = padded[live + d] * (live + d < end[live])
@@ -361,6 +377,206 @@ def score(texts: DataFrame, keys: list[str], shards: list[str], total: int, own:
     return scored.select(*[F.col(a).alias(k) for k, a in zip(keys, named)], "n_words", "log_prob", "perplexity", "mean_context")
 
 
+def _grams(hashes: np.ndarray, first: np.ndarray, held: np.ndarray | None = None, most: int = DEEP) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(n, position, hash) of all runs of n words, n up to ``most``; with ``held``, only of those whose bits are set there."""
+    end = np.repeat(first[1:], np.diff(first))
+    at, key = np.arange(len(hashes)), hashes
+    for n in range(1, most + 1):
+        if n > 1:
+            inside = at + n <= end[at]
+            at, key = at[inside], key[inside]
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + hashes[at + n - 1])
+        if held is not None:
+            slot = key >> np.uint64(64 - int(len(held) * 8).bit_length() + 1)
+            keep = (held[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
+            at, key = at[keep], key[keep]
+        yield n, at, key
+
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """A batch in stretches of rows of bounded size, with the reversed words of each."""
+    for g in groups(batch.column("text")):
+        piece = batch.slice(g.lo, g.hi - g.lo)
+        yield piece, *reversed_words(piece.column("text"))
+
+
+def _held_bits(asked: DataFrame, chars: int) -> np.ndarray:
+    """A bit for each hash of n-grams of ``asked.text``, eight to a byte; tasks make slices."""
+    bits = min(HELD_BITS, max(HELD_SLICE, math.ceil(math.log2(32 * chars + 1))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, hashes, first in _pieces(b):
+                slot = np.unique(np.concatenate([key >> np.uint64(64 - bits) for _, _, key in _grams(hashes, first)])).astype(np.int64)
+                part, lead = np.unique(slot >> HELD_SLICE, return_index=True)
+                at = pa.ListArray.from_arrays(pa.array(np.append(lead, len(slot)).astype(np.int32)), pa.array((slot & ((1 << HELD_SLICE) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(part), at], ["slice", "at"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, at in zip(b.column("slice").to_pylist(), b.column("at")):
+                found.setdefault(part, np.zeros(1 << HELD_SLICE, bool))[at.values.to_numpy()] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in found.values()], pa.binary())], ["slice", "bytes"])
+
+    slices = asked.select("text").mapInArrow(place, "slice bigint, at array<int>").repartition("slice").mapInArrow(fill, "slice bigint, bytes binary")
+    out, width = np.zeros(1 << (bits - 3), np.uint8), 1 << (HELD_SLICE - 3)
+    for r in slices.toLocalIterator():
+        out[r.slice * width : (r.slice + 1) * width] = np.frombuffer(r.bytes, np.uint8)
+    return out
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    lead = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key[lead], np.add.reduceat(count, lead) if len(lead) else count
+
+
+def shared(docs: DataFrame, held: np.ndarray) -> DataFrame:
+    """What ``docs`` have of the texts whose n-grams set the bits ``held``, in one pass, written to the shared folder.
+
+    Rows are passages (doc, words), n-grams of fewer than ``DEEP`` words with how often a task found them (key, n), or
+    the number of all words of a task (n alone).
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(held)
+    schema = pa.schema([("doc", pa.int64()), ("words", pa.list_(pa.int64())), ("key", pa.int64()), ("n", pa.int64())])
+
+    def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
+
+    def counted(key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(key), 100_000):
+            part = key[i : i + 100_000]
+            yield rows(len(part), key=pa.array(part.view(np.int64)), n=pa.array(count[i : i + 100_000]))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, total, waiting = sent.value, 0, 0
+        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for b in batches:
+            for piece, hashes, first in _pieces(b):
+                total += len(hashes)
+                for n, at, key in _grams(hashes, first, bits):
+                    if n < DEEP:
+                        key, count = np.unique(key, return_counts=True)
+                        keys.append(key)
+                        counts.append(count)
+                        waiting += len(key)
+                if len(at):
+                    lead = np.flatnonzero(np.append(True, np.diff(at) != 1))
+                    begin, size = at[lead], at[np.append(lead[1:], len(at)) - 1] + DEEP - at[lead]
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    words_ = hashes[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+                    doc = piece.column("doc").take(pa.array(np.searchsorted(first, begin, "right") - 1))
+                    yield rows(len(lead), doc=doc, words=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words_.view(np.int64))))
+                if waiting > COUNTS:
+                    key, count = _summed(keys, counts)
+                    if len(key) > COUNTS // 2:
+                        yield from counted(key, count)
+                        key, count = key[:0], count[:0]
+                    keys, counts, waiting = [key], [count], len(key)
+        yield from counted(*_summed(keys, counts))
+        yield rows(1, n=pa.array([total], pa.int64()))
+
+    placed = docs.where("text is not null").select(_hash("doc_id").alias("doc"), "text")
+    with batches_of(docs.sparkSession, ROWS):
+        return materialize(placed.mapInArrow(one, "doc bigint, words array<bigint>, key bigint, n bigint"), "shared")
+
+
+def _index_passages(found: DataFrame, shard_words: int) -> list[str]:
+    """Write suffix arrays of the passages of :func:`shared`; returns their files."""
+    passages = found.where("words is not null").select("doc", "words")
+    folder = f"{shared_dir(found.sparkSession)}/ngrams-{uuid.uuid4().hex}"
+    shards = max(1, -(-(passages.agg(F.sum(F.size("words").cast("long"))).first()[0] or 0) // shard_words))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        hashes, size, doc = [], [], []
+        for b in batches:
+            hashes.append(b.column("words").flatten().to_numpy().view(np.uint64))
+            size.append(pa.compute.list_value_length(b.column("words")).to_numpy())
+            doc.append(b.column("doc").to_numpy().view(np.uint64))
+        if sum(map(len, hashes)):
+            uri = f"{folder}/shard-{TaskContext.get().partitionId():06d}"
+            system, path = fs.FileSystem.from_uri(folder)
+            system.create_dir(path, recursive=True)
+            save(build(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)]), np.concatenate(doc)), uri)
+            yield pa.RecordBatch.from_arrays([pa.array([uri])], ["uri"])
+
+    return sorted(r.uri for r in passages.repartition(shards, "doc", "words").mapInArrow(one, "uri string").collect())
+
+
+def scores(docs: DataFrame, texts: DataFrame, keys: list[str], own: str | None = None, block_chars: int = BLOCK_CHARS // 2, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """What :func:`score` gives for ``texts`` under all of ``docs``, with work in proportion to ``docs`` as long as few passages of it recur."""
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars), min(SPLIT, SPLIT * chars // block_chars))
+    named = [f"k{i}" for i in range(len(keys))]
+    asked = texts.select(*[F.col(k).alias(a) for k, a in zip(keys, named)], "text", (_hash(own) if own else F.lit(0).cast("long")).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    asked = materialize(asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))), "texts")
+    kinds = ", ".join(f"{a} {texts.schema[k].dataType.simpleString()}" for k, a in zip(keys, named))
+    found = shared(docs, _held_bits(asked, chars))
+    total = found.where("key is null and words is null").agg(F.sum("n")).first()[0] or 0
+    shards = _index_passages(found, shard_words)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block in pa.compute.unique(b.column("block")):
+                for _, hashes, first in _pieces(b.filter(pa.compute.equal(b.column("block"), block))):
+                    key = np.unique(np.concatenate([k for _, _, k in _grams(hashes, first, most=DEEP - 1)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block.as_py())), pa.array(key.view(np.int64))], ["block", "key"])
+
+    counts = found.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = asked.select("block", "text").mapInArrow(wanted, "block bigint, key bigint").join(counts, "key").select("block", "key", "n")
+    ids = asked.where("doc <> 0").select("block", "doc").distinct()
+    if ids.count() <= BROADCAST_IDS:  # else the join is left to shuffle
+        ids = F.broadcast(ids)
+    mine = docs.where("text is not null").select(_hash("doc_id").alias("doc"), "text").join(ids, "doc").select("block", "doc", "text")
+    both = asked.unionByName(mine, allowMissingColumns=True)  # without a row number: what the corpus has under the texts' own ids
+
+    def whole(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, others = left.filter(left.column("row").is_valid()).sort_by("row"), left.filter(left.column("row").is_null())
+        hashes, first = reversed_words(rows.column("text").combine_chunks())
+        doc = rows.column("doc").to_numpy().view(np.uint64)
+        key_, lead = np.unique(right.column("key").to_numpy().view(np.uint64), return_index=True)  # asked for by more than one stretch of texts
+        there = key_, right.column("n").to_numpy()[lead]
+        theirs, begins = reversed_words(others.column("text").combine_chunks())
+        whose = others.column("doc").to_numpy().view(np.uint64)
+        words_ = _summed([whose], [np.diff(begins)])
+        whose = mix(np.repeat(whose, np.diff(begins)))
+        taken = [k ^ whose[at] for _, at, k in _grams(theirs, begins, most=DEEP - 1)]
+        taken = _summed(taken, [np.ones(len(k), np.int64) for k in taken])
+        of = mix(np.repeat(doc, np.diff(first)))
+        length, count, ones = (np.zeros(len(hashes), np.int64) for _ in range(3))
+        for n, at, k in _grams(hashes, first, most=DEEP - 1):
+            times = _look(there, k) - _look(taken, k ^ of[at])
+            some = times > 0
+            length[at[some]], count[at[some]] = n, times[some]
+            if n == 1:
+                ones[at] = times
+        deep = length == DEEP - 1
+        for uri in shards if deep.any() else []:
+            far, times, _, _ = longest(load(uri), hashes, first, doc if own else None, deep)
+            count = np.where((far >= DEEP) & (far >= length), np.where(far > length, times, count + times), count)
+            length = np.where(far >= DEEP, np.maximum(length, far), length)
+        return _scores(rows, named, np.diff(first), length, count, ones, total - _look(words_, doc))
+
+    many = 2 * blocks
+    scored = both.repartition(many, "block").groupBy("block").cogroup(counts.repartition(many, "block").groupBy("block"))
+    scored = scored.applyInArrow(whole, f"{kinds}, n_words bigint, log_prob double, perplexity double, mean_context double")
+    return scored.select(*[F.col(a).alias(k) for k, a in zip(keys, named)], "n_words", "log_prob", "perplexity", "mean_context")
+
+
+def _look(counts: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> np.ndarray:
+    """The count of each key, 0 where it has none."""
+    if not len(counts[0]):
+        return np.zeros(len(key), np.int64)
+    at = np.minimum(np.searchsorted(counts[0], key), len(counts[0]) - 1)
+    return np.where(counts[0][at] == key, counts[1][at], 0)
+
+
 def _scores(table: pa.Table, keys: list[str], size: np.ndarray, length: np.ndarray, count: np.ndarray, ones: np.ndarray, total: np.ndarray) -> pa.Table:
     n, first = len(length), np.concatenate([[0], np.cumsum(size)])
     row = np.repeat(np.arange(len(size)), size)

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shredloom.llm import roster as llm_roster
 from shredloom.llm import ann, components, decontaminate, fm, line_dedup, near_dup, ngram_lm, packing, pii, quality, toxicity, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, __key string, size int"
@@ -408,6 +409,32 @@ def test_ngram_match_of_a_long_copy(spark, rng):
     assert got.n_words == 20_000 and got.mean_context > 9000
 
 
+def test_ngram_scores_from_passages_are_those_of_the_whole_index(spark, rng):
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(60)]
+    texts += [" ".join([t, "x", t, *rng.sample(words, 3)]) for t in texts[:20]] + [None, "", texts[3], texts[3]]
+    rows = [*enumerate(texts), (None, texts[5]), (4, texts[9]), (4, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = docs.where("doc_id % 3 = 1 or doc_id is null")
+    shards, total = ngram_lm.index(docs, 300)
+    for own in ("doc_id", None):
+        want = ngram_lm.score(asked, ["doc_id"], shards, total, own=own).collect()
+        got = ngram_lm.scores(docs, asked, ["doc_id"], own=own, block_chars=1500, shard_words=400).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == asked.count()
+    nothing = docs.where("false")
+    assert ngram_lm.scores(docs, nothing, ["doc_id"]).count() == 0 and ngram_lm.scores(nothing, docs, ["doc_id"]).count() == len(rows)
+
+
+def test_ngram_query_indexes_only_passages_of_its_texts(spark, rng, tmp_path, monkeypatch):
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(200)) for _ in range(150)]
+    texts[50] = "first " + texts[100] + " last"
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(ngram_lm, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert {r.doc_id for r in llm_roster.op6_ngram_lm(spark, str(tmp_path)).collect()} == {0, 100}
+    held = [ngram_lm.load(f"file://{p}") for p in tmp_path.glob("ngrams-*/shard-*")]
+    assert sum((s.token > 0).sum() for s in held) == 3 * 200  # the two texts and the passage, of 30,000 words
+
+
 def test_ngram_without_corpus(spark):
     shards, total = ngram_lm.index(documents(spark, [None]))
     assert (shards, total) == ([], 0)
