@@ -321,6 +321,25 @@ def test_near_duplicates_try_more_than_the_largest_of_those_that_share_frequent_
     assert {r.doc_id: r.group_id for r in near_dup.near_duplicates(docs).collect()} == {0: 1, 1: 1}
 
 
+def test_exact_lookup_counts_only_pairs_with_two_of_the_rarest(spark, monkeypatch):
+    rng = random.Random(8)
+    common = [sentence(rng, 12, 90_000) for _ in range(12)]
+    small = [" ".join(rng.sample(common, rng.randrange(1, 5))) for _ in range(40)] + [sentence(rng, 30, 90_000)]
+    large = [" ".join([*rng.sample(common, 6), sentence(rng, rng.randrange(200, 300), 90_000)]) for _ in range(80)]
+    docs = documents(spark, small + large)
+    sets = [set(near_dup.shingle_sets(next(near_dup.groups(pa.array([t]))))[0].tolist()) for t in small + large]
+    rest = docs.where(F.col("doc_id") < len(small)).select(F.col("doc_id").alias("a"))
+    want = {}
+    for i, a in enumerate(sets[: len(small)]):
+        held = [(len(a & b), len(b), -j) for j, b in enumerate(sets) if len(b) > 2 * len(a) and len(a & b) / len(a) >= 0.65]
+        want |= {i: -max(held)[2]} if held else {}
+    assert 10 < len(want) < 41
+    monkeypatch.setattr(near_dup, "EXACT_PAIRS", 50)
+    for rows in (4_000_000, 500):
+        monkeypatch.setattr(near_dup, "EXACT_ROWS", rows)
+        assert {r.a: r.b for r in near_dup._held_exactly(docs, rest, near_dup.Ensemble()).collect()} == want
+
+
 def test_slots_of_shingles_keep_small_values_apart():
     rng = np.random.default_rng(4)
     few, all_ = rng.integers(0, 1 << 42, 100_000).astype(np.int64), rng.integers(0, 1 << 48, 100_000).astype(np.int64)
