@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from shredloom.llm.text import Group, Words, groups, lowered, shingles, words
-from shredloom.session import materialize
+from shredloom.session import materialize, trimmed
 
 SHINGLE = 3
 THRESHOLD = 0.5
@@ -218,7 +218,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 ids = b.column("doc_id").take(pa.array(r, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(i).cast(_arrow(kinds[1])), pa.array(np.array(s, float).round(6)), pa.array(at, pa.int64())], ["doc_id", "item_id", "similarity", "first_word"])
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(one, schema))
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(trimmed(one), schema))
     return found
 
 
@@ -245,5 +245,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         clean[g.lo + d] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(one, docs.schema)
+        docs = docs.mapInArrow(trimmed(one), docs.schema)
     return docs

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shredloom.llm.text import segment_sums
-from shredloom.session import batches_of
+from shredloom.session import batches_of, trimmed
 
 BATCH_ROWS = 1000
 
@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, label: Column, featurise: Callable
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     with batches_of(docs.sparkSession, BATCH_ROWS):
-        found = chosen.repartition(1).mapInArrow(learn, T.StructType([T.StructField("model", T.BinaryType())])).collect()
+        found = chosen.repartition(1).mapInArrow(trimmed(learn), T.StructType([T.StructField("model", T.BinaryType())])).collect()
     return pickle.loads(found[0].model) if found else fit(Features(np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0)), np.empty(0), p)
 
 

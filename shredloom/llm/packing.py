@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shredloom.llm.text import groups, words
+from shredloom.session import trimmed
 
 CAPACITY = 2048
 SHARD_TOKENS = 20_000_000
@@ -97,7 +98,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64())], ["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_tokens bigint")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(count), f"doc_id {kind}, n_tokens bigint")
 
 
 def pack(lengths: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shredloom.llm import fm
 from shredloom.llm.text import groups, lowered, segment_sums, words
+from shredloom.session import trimmed
 
 PARAMS = fm.Params(screen=4.0, l1=1e-3)
 KEEP_SHARE = 0.999
@@ -112,7 +113,7 @@ def quality_filter(docs: DataFrame, model: fm.Model) -> DataFrame:
                 low = _low(b, model) if len(model.bucket) else np.zeros(b.num_rows)
                 yield b.filter(pa.array(low <= model.cut))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
 
 
 def kept_documents(docs: DataFrame, model: fm.Model) -> DataFrame:
@@ -126,4 +127,4 @@ def kept_documents(docs: DataFrame, model: fm.Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at)), pa.array((1 - low[at]).round(6))], ["doc_id", "quality"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "lang", "source").mapInArrow(keep, f"doc_id {kind}, quality double")
+    return docs.select("doc_id", "text", "lang", "source").mapInArrow(trimmed(keep), f"doc_id {kind}, quality double")

@@ -703,6 +703,45 @@ def test_pipeline_stages(spark, tmp_path, rng):
     assert 85 not in packed and not set(range(65, 85)) & packed
 
 
+def test_pipeline_stages_hand_over_few_texts_at_a_time(spark, tmp_path, rng):
+    import corpus_pipeline
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    spark.createDataFrame([(0, sentence(rng, 30))], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [sentence(rng, 5)] * 5)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path))
+        found = [r.n for r in spark.range(2500).repartition(1).mapInArrow(sizes, "n bigint").collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sum(found) == 2500 and max(found) <= 1000
+
+
+def test_workers_give_freed_memory_back():
+    from shredloom.session import trimmed
+
+    def resident():
+        with open("/proc/self/status") as status:
+            return next(int(line.split()[1]) for line in status if line.startswith("VmRSS")) / 1024
+
+    kept = []
+
+    def one(batches):
+        held = [np.ones(8000) for _ in range(3000)]  # 192 MB, in pieces too small to be mapped each
+        kept.append(held[-1])
+        del held
+        yield from batches
+
+    before = resident()
+    assert list(trimmed(one)(iter([1, 2]))) == [1, 2] and kept
+    assert resident() - before < 60
+
+
 def test_repeated_rows_give_repeated_results(spark, labelled):
     docs, labels = labelled
     model = toxicity.train(docs, labels)
