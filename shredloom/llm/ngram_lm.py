@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shredloom.llm.text import _power, groups, lowered, mix, words
-from shredloom.session import batches_of, materialize, shared_dir
+from shredloom.session import batches_of, discard, materialize, shared_dir, shuffles_removed
 
 SHARD_CHARS = 30_000_000
 BLOCK_CHARS = 4_000_000
@@ -482,7 +482,9 @@ def shared(docs: DataFrame, held: np.ndarray) -> DataFrame:
 
     placed = docs.where("text is not null").select(_hash("doc_id").alias("doc"), "text")
     with batches_of(docs.sparkSession, ROWS):
-        return materialize(placed.mapInArrow(one, "doc bigint, words array<bigint>, key bigint, n bigint"), "shared")
+        found = materialize(placed.mapInArrow(one, "doc bigint, words array<bigint>, key bigint, n bigint"), "shared")
+    sent.destroy()
+    return found
 
 
 def _index_passages(found: DataFrame, shard_words: int) -> list[str]:
@@ -506,7 +508,8 @@ def _index_passages(found: DataFrame, shard_words: int) -> list[str]:
             save(build(np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(size), dtype=np.int64)]), np.concatenate(doc)), uri)
             yield pa.RecordBatch.from_arrays([pa.array([uri])], ["uri"])
 
-    return sorted(r.uri for r in passages.repartition(shards, "doc", "words").mapInArrow(one, "uri string").collect())
+    with shuffles_removed(found.sparkSession):
+        return sorted(r.uri for r in passages.repartition(shards, "doc", "words").mapInArrow(one, "uri string").collect())
 
 
 def scores(docs: DataFrame, texts: DataFrame, keys: list[str], own: str | None = None, block_chars: int = BLOCK_CHARS // 2, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -519,7 +522,10 @@ def scores(docs: DataFrame, texts: DataFrame, keys: list[str], own: str | None =
     kinds = ", ".join(f"{a} {texts.schema[k].dataType.simpleString()}" for k, a in zip(keys, named))
     found = shared(docs, _held_bits(asked, chars))
     total = found.where("key is null and words is null").agg(F.sum("n")).first()[0] or 0
+    # what the pass found is summed and indexed in turn and then deleted, so that none of it is left when the texts are scored
+    counts = materialize(found.where("key is not null").groupBy("key").agg(F.sum("n").alias("n")), "counts")
     shards = _index_passages(found, shard_words)
+    discard(found)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -528,7 +534,6 @@ def scores(docs: DataFrame, texts: DataFrame, keys: list[str], own: str | None =
                     key = np.unique(np.concatenate([k for _, _, k in _grams(hashes, first, most=DEEP - 1)]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block.as_py())), pa.array(key.view(np.int64))], ["block", "key"])
 
-    counts = found.where("key is not null").groupBy("key").agg(F.sum("n").alias("n"))
     counts = asked.select("block", "text").mapInArrow(wanted, "block bigint, key bigint").join(counts, "key").select("block", "key", "n")
     ids = asked.where("doc <> 0").select("block", "doc").distinct()
     if ids.count() <= BROADCAST_IDS:  # else the join is left to shuffle

@@ -3,8 +3,10 @@
 import collections
 import gzip
 import math
+import os
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -12,6 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shredloom import session
 from shredloom.llm import roster as llm_roster
 from shredloom.llm import ann, components, decontaminate, fm, line_dedup, near_dup, ngram_lm, packing, pii, quality, toxicity, warc
 
@@ -340,6 +343,24 @@ def test_exact_lookup_counts_only_pairs_with_two_of_the_rarest(spark, monkeypatc
         assert {r.a: r.b for r in near_dup._held_exactly(docs, rest, near_dup.Ensemble()).collect()} == want
 
 
+def test_materialize_leaves_no_shuffle_files(spark):
+    from shredloom.session import discard, materialize
+
+    def shuffles():
+        return set(re.findall(r"shuffle_\d+_\d+", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, value = shuffles(), spark.conf.get(name)
+    found = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.monotonic() + 20  # they go in the background
+    while shuffles() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not shuffles() - before and found.count() == 7 and spark.conf.get(name) == value
+    folder = found.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    discard(found)
+    assert not os.path.exists(folder)
+
+
 def test_slots_of_shingles_keep_small_values_apart():
     rng = np.random.default_rng(4)
     few, all_ = rng.integers(0, 1 << 42, 100_000).astype(np.int64), rng.integers(0, 1 << 48, 100_000).astype(np.int64)
@@ -454,6 +475,17 @@ def test_ngram_query_indexes_only_passages_of_its_texts(spark, rng, tmp_path, mo
     assert sum((s.token > 0).sum() for s in held) == 3 * 200  # the two texts and the passage, of 30,000 words
 
 
+def test_ngram_query_keeps_nothing_of_the_corpus_but_sums_and_passages(spark, rng, tmp_path, monkeypatch):
+    docs = documents(spark, [sentence(rng, 50, 60) for _ in range(40)])
+    asked = docs.where("doc_id % 5 = 0")
+    want = ngram_lm.scores(docs, asked, ["doc_id"], own="doc_id").collect()
+    for module in (session, ngram_lm):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: f"file://{tmp_path}")
+    found = ngram_lm.scores(docs, asked, ["doc_id"], own="doc_id")
+    assert {p.name.split("-")[0] for p in tmp_path.glob("*")} == {"texts", "counts", "ngrams"}
+    assert sorted(map(str, found.collect())) == sorted(map(str, want)) and len(want) == 8
+
+
 def test_ngram_without_corpus(spark):
     shards, total = ngram_lm.index(documents(spark, [None]))
     assert (shards, total) == ([], 0)
