@@ -11,6 +11,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +362,16 @@ def test_materialize_leaves_no_shuffle_files(spark):
     assert not os.path.exists(folder)
 
 
+def test_near_duplicates_keep_no_signature_keys(spark, rng, tmp_path, monkeypatch):
+    texts = [sentence(rng, 60, 5000) for _ in range(20)]
+    texts += [t + " more" for t in texts[:6]] + texts[:3]
+    monkeypatch.setattr(session, "shared_dir", lambda spark: f"file://{tmp_path}")
+    found = near_dup.near_duplicates(documents(spark, texts))
+    assert not [p for p in tmp_path.glob("*") if p.name.split("-")[0] in ("buckets", "told")]
+    assert not [p for p in tmp_path.glob("signatures-*/*.parquet") if "keys" in pq.read_schema(p).names]
+    assert {r.doc_id: r.group_id for r in found.collect()} == {i: 20 + i for i in range(6)} | {20 + i: 20 + i for i in range(6)} | {26 + i: 20 + i for i in range(3)}
+
+
 def test_slots_of_shingles_keep_small_values_apart():
     rng = np.random.default_rng(4)
     few, all_ = rng.integers(0, 1 << 42, 100_000).astype(np.int64), rng.integers(0, 1 << 48, 100_000).astype(np.int64)
