@@ -11,7 +11,8 @@ Windows that share no shingle with any item have similarity 0, and an item of wh
 can't reach the threshold in any of its windows; so fingerprints are computed only where neither holds. That loses nothing.
 
 The items are sent to every task in passes of at most ``PASS_SHINGLES`` shingles, one pass over the documents each. A pass
-is written before the next one begins, so that a task holds one pass's items however large the benchmark is.
+is written before the next one begins, so that a task holds one pass's items however large the benchmark is. Owners of shared
+shingles and neighbouring windows are taken in stretches, about ``LOOKUPS`` comparisons at once, however long a text is.
 
 The radius follows from the threshold: multisets of equal weight with Jaccard similarity 1/2 share 2/3 of it, the angle
 between them is about acos(2/3), and so 17 of 64 bits differ on average with a standard deviation of 3.5; 23 bits lie 1.7
@@ -36,6 +37,8 @@ THRESHOLD = 0.5
 RADIUS = 23
 BLOCKS = 8
 PASS_SHINGLES = 1_000_000
+STRETCH = 4096
+LOOKUPS = 1_000_000
 _BITMAP = 22
 
 _BALL = [np.array([v for v in range(256) if (v ^ x).bit_count() <= RADIUS // BLOCKS], np.int64) for x in range(256)]
@@ -60,6 +63,18 @@ def fingerprints(h: np.ndarray, weight: np.ndarray, start: np.ndarray, length: i
     return ((votes > 0).astype(np.uint64) << _BITS[None, :]).sum(1, dtype=np.uint64)
 
 
+def _bounded(doc: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of whole documents that have at most ``LOOKUPS`` counted things each, or are a single document."""
+    begins = np.flatnonzero(np.diff(doc, prepend=-1))
+    lo, held = 0, 0
+    for at, n in zip(begins.tolist(), np.add.reduceat(count, begins).tolist()):
+        if held and held + n > LOOKUPS:
+            yield lo, at
+            lo, held = at, 0
+        held += n
+    yield lo, len(doc)
+
+
 class Hamming(NamedTuple):
     """Multi-index over the fingerprints of the items of one length."""
 
@@ -145,20 +160,47 @@ class Items:
         hit, slot = hit[real], slot[real]
         if not len(hit):
             return
+        doc = np.searchsorted(w.first, at[hit], "right") - 1
+        for a, b in _bounded(doc, self.first[slot + 1] - self.first[slot]):
+            task, place = self._tasks(doc[a:b], hit[a:b], slot[a:b], weight)
+            begins = np.flatnonzero(np.diff(task, prepend=-1))
+            for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(task)]):
+                yield from self._windows(int(task[x] >> 32), int(task[x] & 0xFFFFFFFF), np.unique(place[x:y]), w, h, at, weight)
+
+    def _tasks(self, doc: np.ndarray, hit: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document and length of items, place of a shingle) in order, of the items of which a document holds enough.
+
+        A single document's shingles may have more owners than ``LOOKUPS``; these are gone through in parts, twice.
+        """
         count = self.first[slot + 1] - self.first[slot]
-        place = np.repeat(hit, count)
-        item = self.owner[np.repeat(self.first[slot], count) + np.arange(len(place)) - np.repeat(np.cumsum(count) - count, count)]
-        doc = np.searchsorted(w.first, at[place], "right") - 1
-        pair, back = np.unique(doc * len(self.ids) + item, return_inverse=True)
-        enough = np.bincount(back, weight[place]) >= THRESHOLD * self.total[pair % len(self.ids)]
-        keep = np.flatnonzero(enough[back])
-        place, item, doc = place[keep], item[keep], doc[keep]
-        task = doc * (1 << 32) + self.words[item]
+        most = len(self.ids)
+
+        def owners(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            n = count[a:b]
+            place = np.repeat(np.arange(a, b), n)
+            return place, self.owner[np.repeat(self.first[slot[a:b]], n) + np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)]
+
+        if count.sum() <= LOOKUPS:
+            place, item = owners(0, len(hit))
+            pair, back = np.unique(doc[place] * most + item, return_inverse=True)
+            keep = np.flatnonzero((np.bincount(back, weight[hit[place]]) >= THRESHOLD * self.total[pair % most])[back])
+            task, place = doc[place[keep]] * (1 << 32) + self.words[item[keep]], hit[place[keep]]
+        else:
+            each = max(1, LOOKUPS // int(count.max()))
+            parts = [(a, min(a + each, len(hit))) for a in range(0, len(hit), each)]
+            held = np.zeros(most)
+            for a, b in parts:
+                place, item = owners(a, b)
+                held += np.bincount(item, weight[hit[place]], most)
+            enough = held >= THRESHOLD * self.total
+            found = []
+            for a, b in parts:
+                place, item = owners(a, b)
+                place, item = place[enough[item]], item[enough[item]]
+                found.append(np.unique(np.stack([doc[place] * (1 << 32) + self.words[item], hit[place]]), axis=1))
+            task, place = np.concatenate(found, axis=1)
         order = np.argsort(task, kind="stable")
-        place, task = place[order], task[order]
-        begins = np.flatnonzero(np.diff(task, prepend=-1))
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(task)]):
-            yield from self._windows(int(task[a] >> 32), int(task[a] & 0xFFFFFFFF), np.unique(place[a:b]), w, h, at, weight)
+        return task[order], place[order]
 
     def _windows(self, doc: int, n: int, place: np.ndarray, w: Words, h: np.ndarray, at: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
         lo, hi = np.searchsorted(at, w.first[doc]), np.searchsorted(at, w.first[doc + 1])
@@ -170,15 +212,20 @@ class Items:
         np.add.at(cover, np.minimum(p, last) + 1, -1)
         start = np.flatnonzero(np.cumsum(cover)[: last + 1] > 0)
         index, best = self.by_length[n], {}
+        few = max(1, LOOKUPS // len(index.item))
         # runs of neighbouring windows: sums are taken over what these cover, not over the whole text
         for run in np.split(start, np.flatnonzero(np.diff(start) > length) + 1):
-            a, b = lo + run[0], min(hi, lo + run[-1] + length)
-            found, i = index.within(fingerprints(h[a:b], weight[a:b], run - run[0], length))
-            for s, k in zip((run[found]).tolist(), index.item[i].tolist()):
-                x = slice(lo + s, min(hi, lo + s + length))
-                similar = self.similarity(k, h[x], weight[x])
-                if similar >= THRESHOLD and similar > best.get(k, (0.0, 0))[0]:
-                    best[k] = (similar, s)
+            most = max(STRETCH, length)
+            for stretch in np.split(run, range(most, len(run), most)):
+                a, b = lo + stretch[0], min(hi, lo + stretch[-1] + length)
+                prints = fingerprints(h[a:b], weight[a:b], stretch - stretch[0], length)
+                for at_once in range(0, len(stretch), few):
+                    found, i = index.within(prints[at_once : at_once + few])
+                    for s, k in zip(stretch[at_once + found].tolist(), index.item[i].tolist()):
+                        x = slice(lo + s, min(hi, lo + s + length))
+                        similar = self.similarity(k, h[x], weight[x])
+                        if similar >= THRESHOLD and similar > best.get(k, (0.0, 0))[0]:
+                            best[k] = (similar, s)
         for k, (similar, s) in sorted(best.items()):
             yield doc, k, similar, s
 

@@ -615,6 +615,39 @@ def test_multi_index_finds_all_within_radius():
     assert set(zip(q.tolist(), k.tolist())) == want
 
 
+def test_decontamination_of_a_long_text_holds_few_comparisons_at_once():
+    r = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    common = "alpha beta gamma delta "
+    items = [common + " ".join(r.choice(vocabulary, 16)) for _ in range(1000)]
+    # all windows share a shingle with every item, and one item is there
+    text = items[7] + " " + " ".join("alpha beta gamma " + " ".join(r.choice(vocabulary, 9)) for _ in range(400))
+    index = decontaminate.Items(list(range(1000)), items)
+    index.similarity = lambda i, h, weight: float(i == 7)  # what is verified takes time, not memory
+    tracemalloc.start()
+    try:
+        found = [x for g in decontaminate.groups(pa.array([text])) for x in index.search(g)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [x[:2] for x in found] == [(0, 7)] and peak < 150e6
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 50])
+def test_decontamination_in_stretches_finds_the_same(rng, monkeypatch, at_once):
+    items = [sentence(rng, n, 60) for n in (15, 15, 15, 40, 40)]
+    texts = [" ".join([sentence(rng, 20, 60), items[i % 5], sentence(rng, 200, 60), items[(i + 1) % 5]]) for i in range(8)]
+    index = decontaminate.Items(list(range(5)), items)
+
+    def found():
+        return [x for g in decontaminate.groups(pa.array(texts)) for x in index.search(g)]
+
+    whole = found()
+    monkeypatch.setattr(decontaminate, "STRETCH", at_once)
+    monkeypatch.setattr(decontaminate, "LOOKUPS", at_once)
+    assert found() == whole and {x[:2] for x in whole} >= {(i, (i + k) % 5) for i in range(8) for k in (0, 1)}
+
+
 # --- packing
 
 
