@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shredloom.functions import scalars
 from shredloom.operators import drift, profile, reports, review, shred, structure
-from shredloom.session import table
+from shredloom.session import materialize, table
 from shredloom.sources.records import raw_from_json, resume_after
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,8 +136,11 @@ def except_in_list_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """Dense numbers in the order of a unique key: sorted by range, so that only counts of ranges are summed in one place."""
-    parted = df.repartitionByRange(key).withColumn("__part", F.spark_partition_id())
+    """Dense numbers in the order of a unique key: sorted by range, so that only counts of ranges are summed in one place.
+
+    The ranges are written, as every run of a plan may sample and join them otherwise.
+    """
+    parted = materialize(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
     inner = parted.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(key)))
     counts = parted.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
