@@ -3,66 +3,119 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shredloom.plans.inventory import each_example, shapes
+
+#: A task keeps about so many different results before it hands them over; objects of at most FEW keys are counted by these.
+KEPT, FEW = 200_000, 32
 NODES = "record_index bigint, parent string, path string, key string, kind string, branch_type string, dtype string, in_list boolean, list_len int, objects int, sample string"
 
 
+def _branch(value: object) -> str:
+    if isinstance(value, dict):
+        return "Dict"
+    return "Value" if not isinstance(value, list) else "List of Dict" if any(isinstance(x, dict) for x in value) else "List of Value"
+
+
+def _objects(items: list) -> list[dict]:
+    """The objects of a list and of the lists in it."""
+    while list in map(type, items):
+        items = [y for x in items for y in (x if type(x) is list else [x])]
+    return [x for x in items if type(x) is dict]
+
+
+def _nodes(index: int, record: dict, sep: str, items: int | None = None) -> Iterator[tuple]:
+    todo: list[tuple] = [("", False, record)]
+    while todo:
+        parent, inside, node = todo.pop()
+        for key, value in node.items():
+            path = f"{parent}{sep}{key}" if parent else key
+            kind = "dict" if isinstance(value, dict) else "list" if isinstance(value, list) else "value"
+            size = objects = sample = None
+            if kind == "dict":
+                todo.append((path, False, value))
+            elif kind == "list":
+                size = len(value)
+                found = _objects(value[:items])
+                objects = len(found)
+                todo += [(path, True, x) for x in found]
+            elif value is not None:
+                sample = str(value)[:80]
+            yield index, parent, path, key, kind, _branch(value), type(value).__name__, inside, size, objects, sample
+
+
 def nodes(records: DataFrame, sep: str = "__", items: int | None = None) -> DataFrame:
     """One row for each branch of every record, in one pass: its parent, path, key, kind (dict, list, value), branch type and type.
 
     Items of a list share its path; ``in_list`` says that a branch belongs to an object in a list, ``objects`` how many objects are
-    directly in a list. ``items`` looks at a list's first items only.
+    directly in a list. ``items`` looks at a list's first items only. That is many rows: counts are better made within the tasks.
     """
 
-    def branch(value: object) -> str:
-        if isinstance(value, dict):
-            return "Dict"
-        return "Value" if not isinstance(value, list) else "List of Dict" if any(isinstance(x, dict) for x in value) else "List of Value"
-
-    def rows(index: int, record: dict) -> Iterator[tuple]:
-        todo: list[tuple] = [("", False, record)]
-        while todo:
-            parent, inside, node = todo.pop()
-            for key, value in node.items():
-                path = f"{parent}{sep}{key}" if parent else key
-                kind = "dict" if isinstance(value, dict) else "list" if isinstance(value, list) else "value"
-                size = objects = sample = None
-                if kind == "dict":
-                    todo.append((path, False, value))
-                elif kind == "list":
-                    size = len(value)
-                    flat = value[:items]
-                    while any(isinstance(x, list) for x in flat):
-                        flat = [y for x in flat for y in (x if isinstance(x, list) else [x])]
-                    found = [x for x in flat if isinstance(x, dict)]
-                    objects = len(found)
-                    todo += [(path, True, x) for x in found]
-                elif value is not None:
-                    sample = str(value)[:80]
-                yield index, parent, path, key, kind, branch(value), type(value).__name__, inside, size, objects, sample
-
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_index", pa.int64()), *((n, pa.string()) for n in ("parent", "path", "key", "kind", "branch_type", "dtype")), ("in_list", pa.bool_()), ("list_len", pa.int32()), ("objects", pa.int32()), ("sample", pa.string())])
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                found = [r for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if text for r in rows(i, json.loads(text))]
+                found = [r for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if text for r in _nodes(i, json.loads(text), sep, items)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
 
     return records.select("record_index", F.to_json("v").alias("j")).where("j like '{%'").mapInArrow(one, NODES)
 
 
+def _batches(rows: Iterable[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of texts, and of an ``n`` if there is one, as batches."""
+
+    def column(name: str, values: tuple) -> pa.Array:
+        if name == "n":
+            return pa.array(values, pa.int64())
+        try:
+            return pa.array(values, pa.string())
+        except UnicodeEncodeError:  # half a surrogate pair, which the JVM also replaces so
+            return pa.array([None if v is None else v.encode("utf-8", "replace").decode() for v in values], pa.string())
+
+    rows = iter(rows)
+    while some := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([column(n, c) for n, c in zip(names, zip(*some))], names)
+
+
+def _different(records: DataFrame, names: list[str], of: Callable[[tuple], Iterable[tuple]], sep: str) -> DataFrame:
+    """What ``of`` gives for the branches of all records, each once: every task looks at one example of each shape."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple] = set()
+        for record, _ in each_example(batches):
+            found.update(x for node in _nodes(0, record, sep) for x in of(node))
+            if len(found) > KEPT:
+                yield from _batches(found, names)
+                found.clear()
+        yield from _batches(found, names)
+
+    return shapes(records).mapInArrow(one, ", ".join(f"{n} string" for n in names)).distinct()
+
+
 def key_pairs(records: DataFrame, sep: str = "__") -> DataFrame:
     """Distinct (type, dtype, parent, branch): a branch of an object in a list is a value in it, a list of objects also has a node ``List``."""
-    typed = nodes(records, sep).selectExpr("parent", "path AS branch", "CASE WHEN in_list THEN 'Value in List of Dict' ELSE branch_type END AS type", "CASE WHEN in_list THEN 'list' ELSE 'dict' END AS dtype", "branch_type AS own")
-    lists = typed.where("own = 'List of Dict' OR (own = 'List of Value' AND type = 'Value in List of Dict')").selectExpr("branch AS parent", f"concat(branch, '{sep}List') AS branch", "'List' AS type", "'list' AS dtype")
-    return typed.select("type", "dtype", "parent", "branch").unionByName(lists.select("type", "dtype", "parent", "branch")).distinct()
+
+    def pairs(node: tuple) -> Iterator[tuple]:
+        _, parent, path, _, _, own, _, inside, *_ = node
+        yield ("Value in List of Dict", "list", parent, path) if inside else (own, "dict", parent, path)
+        if own == "List of Dict" or (own == "List of Value" and inside):
+            yield "List", "list", path, f"{path}{sep}List"
+
+    return _different(records, ["type", "dtype", "parent", "branch"], pairs, sep)
+
+
+def raw_paths(records: DataFrame, sep: str = "__") -> DataFrame:
+    """Every ``path`` of the records, once."""
+    return _different(records, ["path"], lambda node: [(node[2],)], sep)
 
 
 def branch_vote(pairs: DataFrame) -> DataFrame:
@@ -75,14 +128,63 @@ def branch_vote(pairs: DataFrame) -> DataFrame:
 def dict_path_stats(records: DataFrame, sep: str = "__", approximate: bool = False) -> DataFrame:
     """(path, observations, dict_keys_total, unique_keys) of the objects below the top level; items of lists share its path.
 
-    One pass over the records and one aggregation.
+    One pass over the records, in which every task counts the keys of each path, and one aggregation of these counts.
     """
-    count = F.approx_count_distinct("key") if approximate else F.count_distinct("key")
-    found = nodes(records, sep).select("parent", "path", "key", F.when(F.col("kind") == "dict", 1).otherwise(F.coalesce("objects", F.lit(0))).alias("seen"))
-    # each branch counts as a key of its parent, and its own objects as observations of its path
-    both = F.array(F.struct(F.col("parent").alias("path"), F.lit(0).alias("seen"), F.col("key").alias("key")), F.struct(F.col("path").alias("path"), F.col("seen").cast("int").alias("seen"), F.lit(None).cast("string").alias("key")))
-    stats = found.select(F.explode(both).alias("x")).select("x.*").where("path <> '' and (seen > 0 or key is not null)")
-    return stats.groupBy("path").agg(F.sum("seen").alias("observations"), F.count("key").alias("dict_keys_total"), count.alias("unique_keys"))
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()  # objects by path
+        few: Counter = Counter()  # by path and keys, of objects with few
+        many: dict[str, Counter] = {}  # keys by path
+
+        def counts() -> Iterator[tuple]:
+            for (path, keys), n in few.items():
+                own = many.setdefault(path, Counter())
+                for k in keys:
+                    own[k] += n
+            yield from ((path, None, n) for path, n in seen.items() if path)
+            yield from ((path, k, n) for path, own in many.items() for k, n in own.items())
+            for kept in (seen, few, many):
+                kept.clear()
+
+        for b in batches:
+            for i, text in enumerate(b.column(0).to_pylist()):
+                if i % 100 == 99 and len(few) + sum(map(len, many.values())) > KEPT:
+                    yield from _batches(counts(), ["path", "key", "n"])
+                value = _loads(text) if text else None
+                todo = [("", value)] if isinstance(value, dict) else []
+                while todo:
+                    parent, node = todo.pop()
+                    if parent and len(node) <= FEW:
+                        few[parent, tuple(node)] += 1
+                    elif parent:
+                        many.setdefault(parent, Counter()).update(node.keys())
+                    for key, value in node.items():
+                        kind = type(value)
+                        if kind is dict or kind is list:
+                            found = [value] if kind is dict else _objects(value)
+                            if found:
+                                path = f"{parent}{sep}{key}" if parent else key
+                                seen[path] += len(found)
+                                todo += [(path, x) for x in found]
+        yield from _batches(counts(), ["path", "key", "n"])
+
+    texts = records.select((F.col("raw") if "raw" in records.columns else F.to_json("v")).alias("j"))
+    found = texts.mapInArrow(one, "path string, key string, n bigint")
+    if approximate:
+        unique = F.approx_count_distinct("key")
+    else:
+        unique, found = F.count("key"), found.groupBy("path", "key").agg(F.sum("n").alias("n"))
+    n, of_key = F.col("n"), F.col("key").isNotNull()
+    return found.groupBy("path").agg(
+        F.coalesce(F.sum(F.when(~of_key, n)), F.lit(0)).alias("observations"), F.coalesce(F.sum(F.when(of_key, n)), F.lit(0)).alias("dict_keys_total"), unique.alias("unique_keys")
+    )
+
+
+def _loads(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:  # an integer of thousands of digits; the text itself was parsed before
+        return json.loads(text, parse_int=float)
 
 
 def auto_except(stats: DataFrame, min_observations: int = 20, min_unique: int = 512, novelty: float = 2.0) -> DataFrame:

@@ -7,6 +7,7 @@ flat tables. Every query runs over whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from shredloom.functions import scalars
 from shredloom.operators import drift, profile, reports, review, shred, structure
 from shredloom.session import materialize, table
-from shredloom.sources.records import raw_from_json, resume_after
+from shredloom.sources.records import raw_from_json, resume_after, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,18 +39,23 @@ def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_returnflag", F.struct(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l_shipdate"), "l_linestatus").alias("ship"), F.array("l_suppkey", "l_partkey").alias("refs")))).alias("items")
     )
-    orders = table(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    # made and parsed by all cores, however few files there are; by the key of the join, so that nothing is shuffled for it
+    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    orders = table(spark, sf_dir, "orders").repartition(pieces, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     record = F.struct(
         F.col("o_orderkey").alias("id"), F.struct("o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey").alias("hdr"), F.transform("items", lambda x: x["l_partkey"]).alias("parts"), F.col("items")
     )
-    # parsed by all cores, however few files there are
-    texts = orders.select("o_orderkey", F.to_json(record).alias("j")).repartition(spark.sparkContext.defaultParallelism)
-    return raw_from_json(texts, "j", "o_orderkey", "orders.jsonl")
+    return raw_from_json(orders.select("o_orderkey", F.to_json(record).alias("j")), "j", "o_orderkey", "orders.jsonl")
+
+
+def shredded_orders(spark: SparkSession, sf_dir: str, **options: Any) -> shred.Shredded:
+    """:func:`nested_orders`, written as the inventory and each table read them, and shredded."""
+    return shred.shred(written(nested_orders(spark, sf_dir)), **options)
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS hdr__o_orderstatus, o_totalprice AS hdr__o_totalprice, o_orderpriority AS hdr__o_orderpriority, o_custkey AS hdr__o_custkey FROM orders")
 def shred_main_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.shred(nested_orders(spark, sf_dir)).main
+    return shredded_orders(spark, sf_dir).main
 
 
 @query(
@@ -58,22 +64,22 @@ def shred_main_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shred_sub_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ("l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_returnflag")
-    return shred.shred(nested_orders(spark, sf_dir)).subs["items"].select("id", *[f"items__{n}" for n in names])
+    return shredded_orders(spark, sf_dir).subs["items"].select("id", *[f"items__{n}" for n in names])
 
 
 @query("SELECT l_orderkey AS id, l_partkey AS parts FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def shred_scalar_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.shred(nested_orders(spark, sf_dir)).subs["parts"]
+    return shredded_orders(spark, sf_dir).subs["parts"]
 
 
 @query("SELECT l_orderkey AS id, l_linestatus AS items__ship__l_linestatus, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS items__ship__l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def shred_item_nested_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.shred(nested_orders(spark, sf_dir)).subs["items"].select("id", "items__ship__l_linestatus", "items__ship__l_shipdate")
+    return shredded_orders(spark, sf_dir).subs["items"].select("id", "items__ship__l_linestatus", "items__ship__l_shipdate")
 
 
 @query("SELECT l_orderkey AS id, l_linenumber AS items__l_linenumber, l_suppkey AS first, l_partkey AS second FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def shred_item_nested_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = shred.shred(nested_orders(spark, sf_dir)).subs["items"]
+    items = shredded_orders(spark, sf_dir).subs["items"]
     cell = F.from_json("items__refs", "array<bigint>")
     return items.select("id", "items__l_linenumber", cell[0].alias("first"), cell[1].alias("second"))
 
@@ -110,7 +116,7 @@ def shred_mixed_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, 'hdr' AS path, 'dict' AS kind, o_orderstatus AS status, o_custkey AS cust, o_orderkey AS rec FROM orders")
 def except_full_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = shred.shred(nested_orders(spark, sf_dir), except_keys=["hdr"]).excepted["hdr"]
+    e = shredded_orders(spark, sf_dir, except_keys=["hdr"]).excepted["hdr"]
     return e.select(
         "id", F.col("__except_path__").alias("path"), F.col("__except_raw_type__").alias("kind"), F.get_json_object("value", "$.o_orderstatus").alias("status"),
         F.get_json_object("__except_raw_json__", "$.o_custkey").cast("bigint").alias("cust"), F.col("__record_index__").alias("rec"),
@@ -120,18 +126,18 @@ def except_full_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey AS id, 'hdr__o_custkey' AS path, 'int' AS kind, CAST(o_custkey AS VARCHAR) AS value FROM orders")
 def except_bare_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bare name that is nested keeps its payload."""
-    e = shred.shred(nested_orders(spark, sf_dir), except_keys=["o_custkey"]).excepted["o_custkey"]
+    e = shredded_orders(spark, sf_dir, except_keys=["o_custkey"]).excepted["o_custkey"]
     return e.select("id", F.col("__except_path__").alias("path"), F.col("__except_raw_type__").alias("kind"), "value")
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders")
 def except_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.shred(nested_orders(spark, sf_dir), except_keys=["hdr"], expand=True).excepted["hdr"].select("id", "o_orderstatus", "o_custkey")
+    return shredded_orders(spark, sf_dir, except_keys=["hdr"], expand=True).excepted["hdr"].select("id", "o_orderstatus", "o_custkey")
 
 
 @query("SELECT l_orderkey AS id, l_linenumber AS items__l_linenumber, l_quantity AS items__l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def except_in_list_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = shred.shred(nested_orders(spark, sf_dir), except_keys=["l_tax", "ship", "refs", "l_partkey", "l_returnflag"]).subs["items"]
+    items = shredded_orders(spark, sf_dir, except_keys=["l_tax", "ship", "refs", "l_partkey", "l_returnflag"]).subs["items"]
     return items
 
 
@@ -179,23 +185,23 @@ def shred_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS hdr_o_orderstatus, o_totalprice AS hdr_o_totalprice, o_orderpriority AS hdr_o_orderpriority, o_custkey AS hdr_o_custkey FROM orders")
 def rename_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.simplify_names(shred.shred(nested_orders(spark, sf_dir)).main)
+    return shred.simplify_names(shredded_orders(spark, sf_dir).main)
 
 
 @query("SELECT l_orderkey AS id, l_linenumber, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def rename_simplify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shred.simplify_names(shred.shred(nested_orders(spark, sf_dir)).subs["items"], "items").select("id", "l_linenumber", "l_returnflag")
+    return shred.simplify_names(shredded_orders(spark, sf_dir).subs["items"], "items").select("id", "l_linenumber", "l_returnflag")
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus AS hdr__o_orderstatus, l_linenumber AS items__l_linenumber, l_quantity AS items__l_quantity FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey")
 def rejoin_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shred.shred(nested_orders(spark, sf_dir))
+    s = shredded_orders(spark, sf_dir)
     return shred.rejoin(s.main.select("id", "hdr__o_orderstatus"), [s.subs["items"].select("id", "items__l_linenumber", "items__l_quantity")])
 
 
 @query("SELECT o_orderkey AS id, o_totalprice AS hdr__o_totalprice, l_linenumber AS items__l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
 def rejoin_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = shred.shred(nested_orders(spark, sf_dir))
+    s = shredded_orders(spark, sf_dir)
     return s.main.join(s.subs["items"].where("items__l_returnflag = 'R'"), "id").select("id", "hdr__o_totalprice", "items__l_linenumber")
 
 
@@ -438,10 +444,10 @@ def top_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('hdr', 'missing_excepted'), ('hdr__o_orderstatus', 'missing_excepted'), ('hdr__o_totalprice', 'missing_excepted'), ('hdr__o_orderpriority', 'missing_excepted'), ('hdr__o_custkey', 'missing_excepted'), ('items__ship', 'missing')) AS t(path, status)")
 def raw_vs_flat_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = nested_orders(spark, sf_dir)
+    raw = written(nested_orders(spark, sf_dir))
     s = shred.shred(raw, except_keys=["hdr"])
     flat = sorted({c for cs in s.plan.columns().values() for c in cs} | set(s.subs))
-    return structure.key_diff(structure.raw_tree(raw), spark.createDataFrame([(c,) for c in flat], "path string"), ["hdr"])
+    return structure.key_diff(structure.raw_paths(raw), spark.createDataFrame([(c,) for c in flat], "path string"), ["hdr"])
 
 
 # --- scalar functions
@@ -553,12 +559,12 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT 0 AS depth, 1 AS tables, (SELECT count(*) FROM orders) AS n UNION ALL SELECT 1, 2, 2 * (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 )
 def depth_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review.depth_groups(review.row_counts(shred.shred(nested_orders(spark, sf_dir)).tables("orders")), "orders")
+    return review.depth_groups(review.row_counts(shredded_orders(spark, sf_dir).tables("orders")), "orders")
 
 
 @query("SELECT * FROM (VALUES ('orders', 'orders__items', 'items'), ('orders', 'orders__parts', 'parts')) AS t(parent, child, label)")
 def table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(review.table_edges("orders", shred.shred(nested_orders(spark, sf_dir)).tables("orders")), "parent string, child string, label string")
+    return spark.createDataFrame(review.table_edges("orders", shredded_orders(spark, sf_dir).tables("orders")), "parent string, child string, label string")
 
 
 # --- scans

@@ -1,7 +1,8 @@
 """Records from JSON, JSON Lines, gzip, ZIP and XML as VARIANT rows with their provenance.
 
-A raw table has (record_index, source_ord, source_path, source_member, line_no, v); ``record_index`` counts the
-object records densely in the order of sources, members and lines. Lines that don't parse are in a table of rejects.
+A raw table has (record_index, source_ord, source_path, source_member, line_no, v) and the text that was read, ``raw``;
+``record_index`` counts the object records densely in the order of sources, members and lines. Lines that don't parse are in a table
+of rejects. Once :func:`written`, a raw table has the records' shapes, for inventories, instead of their texts.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shredloom.config import Options, as_list
+from shredloom.plans.inventory import with_shape
+from shredloom.session import materialize, whole_variants
 
 TEXT_SUFFIXES = (".jsonl", ".ndjson")
 MEMBER_SUFFIXES = (".json", *TEXT_SUFFIXES)
@@ -94,12 +97,19 @@ def _all(conditions: list) -> object:
 
 def raw_from_json(df: DataFrame, column: str, order: str, path: str = "memory") -> DataFrame:
     """Raw records from a column of JSON texts; ``order`` is a column of dense record numbers."""
+    # of an array, as a filter on a plain column would be pushed below it and parse every text once more
     return df.select(
         F.col(order).cast("bigint").alias("record_index"), F.lit(0).alias("source_ord"), F.lit(path).alias("source_path"), F.lit(None).cast("string").alias("source_member"),
-        (F.col(order) + 1).cast("bigint").alias("line_no"), F.try_parse_json(column).alias("v"),
+        (F.col(order) + 1).cast("bigint").alias("line_no"), F.explode(F.array(F.try_parse_json(column))).alias("v"), F.col(column).alias("raw"),
     ).where("v is not null")
 
 
+def written(records: DataFrame) -> DataFrame:
+    """The same raw records from files, for those who read them more than once: they are made and parsed once."""
+    with whole_variants(records.sparkSession):
+        return materialize(with_shape(records).drop("raw"), "records")
+
+
 def _text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(source_path, block, source_member, line_no, raw) of text files; gzip is decompressed by the reader."""
     meta = F.col("_metadata")
