@@ -258,9 +258,12 @@ def rebuild_text(df: DataFrame, key: str, column: str) -> DataFrame:
     Of several tokens at one position the first by name is taken, the others are collisions; density is the share of positions
     up to the last that have a token.
     """
-    at = df.select(key, F.explode(column).alias("token", "positions")).select(key, "token", F.explode("positions").alias("at"))
-    one = at.groupBy(key, "at").agg(F.min("token").alias("token"), (F.count("*") - 1).alias("more"))
-    return one.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ").alias("text"),
-        F.count("*").alias("tokens"), (F.count("*") / (F.max("at") + 1)).alias("density"), F.sum("more").alias("collisions"),
+    at = df.select(key, F.expr(f"flatten(transform(filter(map_entries(`{column}`), e -> e.value IS NOT NULL), e -> transform(e.value, a -> struct(a AS at, e.key AS token))))").alias("__at"))
+    # a key's tokens move together, and only if its rows aren't together yet
+    by_place = at.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("__at"))).alias("__at")).where("size(__at) > 0")
+    firsts = by_place.select(key, "__at", F.expr("filter(__at, (x, i) -> i = 0 OR NOT x.at <=> __at[i - 1].at)").alias("__one"))
+    n = F.size("__one").cast("bigint")
+    return firsts.select(
+        key, F.array_join(F.transform("__one", lambda x: x["token"]), " ").alias("text"), n.alias("tokens"), (n / (F.array_max(F.transform("__one", lambda x: x["at"])) + 1)).alias("density"),
+        (F.size("__at") - n).alias("collisions"),
     )

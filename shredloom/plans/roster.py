@@ -34,14 +34,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _pieces(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw records {id, hdr: {...}, parts: [...], items: [{...}]}, one for each order; numbered by its key."""
     items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_returnflag", F.struct(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("l_shipdate"), "l_linestatus").alias("ship"), F.array("l_suppkey", "l_partkey").alias("refs")))).alias("items")
     )
     # made and parsed by all cores, however few files there are; by the key of the join, so that nothing is shuffled for it
-    pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    orders = table(spark, sf_dir, "orders").repartition(pieces, "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    orders = table(spark, sf_dir, "orders").repartition(_pieces(spark), "o_orderkey").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     record = F.struct(
         F.col("o_orderkey").alias("id"), F.struct("o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey").alias("hdr"), F.transform("items", lambda x: x["l_partkey"]).alias("parts"), F.col("items")
     )
@@ -405,7 +408,9 @@ def dict_path_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw records {id, idx: {word: [positions]}}; a word is what spaces and line breaks divide."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", r"[ \n]+")).alias("at", "w")).where("w <> ''")
+    # texts are shuffled once; all their words stay where they are
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(_pieces(spark), "doc_id")
+    docs = texts.select("doc_id", F.posexplode(F.split("text", r"[ \n]+")).alias("at", "w")).where("w <> ''")
     words = docs.groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("at")).alias("at"))
     maps = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("idx"))
     return maps

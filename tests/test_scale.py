@@ -78,3 +78,11 @@ def test_maps_are_counted_key_by_key(spark):
 def test_every_text_is_parsed_once(spark):
     plan = texts(spark, {"id": 1}).select("v")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_texts_are_rebuilt_without_moving_words(spark):
+    words = spark.createDataFrame([(1, {"b": [0, 2], "a": [0, 5], "n": []}), (1, {"c": [2]}), (2, {"x": []}), (3, None)], "id int, idx map<string,array<int>>")
+    df = structure.rebuild_text(words.repartition(3, "id"), "id", "idx")
+    assert [tuple(r) for r in df.collect()] == [(1, "a b a", 3, 0.5, 2)]
+    plan = structure.rebuild_text(words.repartition(3, "id"), "id", "idx")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
