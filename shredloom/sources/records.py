@@ -157,6 +157,18 @@ def member_rows(name: str, data: bytes, records_key: str | None) -> Iterator[tup
             yield None, row
 
 
+def _holds_lines(path: str, limit: int = 16 << 20) -> bool:
+    """Whether a file holds JSON Lines, whatever its name: its first line is a whole object and more follows, so it is no document."""
+    if path.lower().endswith((".zip", ".xml", ".gz")):
+        return False
+    with open(path, "rb") as f:
+        lines = (line for line in iter(lambda: f.readline(limit), b"") if line.strip())
+        try:
+            return isinstance(json.loads(next(lines, b"")), dict) and next(lines, None) is not None
+        except ValueError:
+            return False
+
+
 def _binary_lines(spark: SparkSession, paths: list[str], options: Options) -> DataFrame:
     """Records of whole documents and archives, each file read in one task."""
     wanted, records_key = list(options.zip_members), options.records_key
@@ -185,11 +197,11 @@ def _binary_lines(spark: SparkSession, paths: list[str], options: Options) -> Da
 def read_raw(spark: SparkSession, options: Options, sampled: bool = False) -> Raw:
     """All records of the options' sources. Blank lines count in ``line_no`` only; what isn't an object is no record.
 
-    Plain and gzipped JSON Lines are split and read by Spark; documents, archives and XML are read file by file.
+    Plain and gzipped JSON Lines, also those of other names, are split and read by Spark; documents, archives and XML are read file by file.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of repeated keys counts
     paths, _ = resolve_sources(options, sampled)
-    by_line = [p for p in paths if p.lower().removesuffix(".gz").endswith(TEXT_SUFFIXES) or (p.lower().endswith(".gz") and not options.records_key)]
+    by_line = [p for p in paths if p.lower().removesuffix(".gz").endswith(TEXT_SUFFIXES) or (p.lower().endswith(".gz") and not options.records_key) or _holds_lines(p)]
     whole = [p for p in paths if p not in by_line]
     parts = []
     if by_line:
@@ -200,12 +212,14 @@ def read_raw(spark: SparkSession, options: Options, sampled: bool = False) -> Ra
         lines = spark.createDataFrame([], "source_path string, block bigint, source_member string, line_no bigint, raw string, at bigint")
     else:
         lines = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    order = spark.createDataFrame([(i, str(Path(p).resolve())) for i, p in enumerate(paths)], "source_ord int, __path string")
+    # from Arrow, as rows of a list would start Python workers on the executors only to hand them on
+    resolved = pa.table({"source_ord": pa.array(range(len(paths)), pa.int32()), "__path": pa.array([str(Path(p).resolve()) for p in paths], pa.string())})
+    order = spark.createDataFrame(resolved)
     clean = F.regexp_replace(F.url_decode(F.regexp_replace(F.regexp_replace("source_path", "^file:/+", "/"), r"\+", "%2B")), "/+", "/")
     lines = lines.withColumn("source_path", clean).join(F.broadcast(order), F.col("source_path") == F.col("__path")).drop("__path")
     parsed = _parsed(lines.where("trim(raw) <> ''"))
     records = number_records(parsed, ["source_ord", "block", "at"], ["source_ord", "block"])
-    records = records.select("record_index", "source_ord", "source_path", "source_member", "line_no", "v")
+    records = records.select("record_index", "source_ord", "source_path", "source_member", "line_no", "v", "raw")
     if options.max_records is not None:
         records = records.where(F.col("record_index") < options.max_records)
     rejects = parsed.where("v is null").select("source_path", "source_member", "line_no", F.lit("read.json").alias("stage"), F.lit("malformed JSON").alias("message"), "raw")

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from shredloom.config import Options
 from shredloom.operators import shred, structure
 from shredloom.plans import inventory, roster
+from shredloom.sources import records
 
 
 @pytest.fixture
@@ -46,10 +48,10 @@ def texts(spark, *items):
     return roster.raw_from_json(spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(items)], "i long, j string"), "j", "i")
 
 
-@pytest.mark.parametrize("records", [[x] for x in ODD] + [ODD, [x for x in ODD for _ in range(3)]])
-def test_shapes_tell_what_the_records_do(spark, records):
+@pytest.mark.parametrize("given", [[x] for x in ODD] + [ODD, [x for x in ODD for _ in range(3)]])
+def test_shapes_tell_what_the_records_do(spark, given):
     """Inventory and structure from shapes, from written ones and from the records alone are the same."""
-    raw = texts(spark, *records)
+    raw = texts(spark, *given)
     ways = [raw, roster.written(raw), raw.drop("raw")]
     pairs = [{tuple(r) for r in structure.key_pairs(w).collect()} for w in ways]
     assert pairs[0] == pairs[1] == pairs[2]
@@ -71,8 +73,8 @@ def test_few_rows_leave_the_tasks(spark):
 
 def test_maps_are_counted_key_by_key(spark):
     wide = texts(spark, *({"id": i, "idx": {f"w{i}_{j}": [j] for j in range(100)} | {"same": [0]}, "e": {}, "o": [[{}], 1, None]} for i in range(20)))
-    for records in (wide, wide.drop("raw")):
-        assert {r.path: tuple(r)[1:] for r in structure.dict_path_stats(records).collect()} == {"idx": (20, 2020, 2001), "e": (20, 0, 0), "o": (20, 0, 0)}
+    for way in (wide, wide.drop("raw")):
+        assert {r.path: tuple(r)[1:] for r in structure.dict_path_stats(way).collect()} == {"idx": (20, 2020, 2001), "e": (20, 0, 0), "o": (20, 0, 0)}
 
 
 def test_every_text_is_parsed_once(spark):
@@ -86,3 +88,17 @@ def test_texts_are_rebuilt_without_moving_words(spark):
     assert [tuple(r) for r in df.collect()] == [(1, "a b a", 3, 0.5, 2)]
     plan = structure.rebuild_text(words.repartition(3, "id"), "id", "idx")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_lines_of_any_name_are_read_by_spark(spark, tmp_path):
+    """A worker that takes a file whole needs memory for all of it."""
+    (tmp_path / "a.txt").write_text('\n{"id":1}\n\n{"id":2}\nbroken\n')
+    (tmp_path / "b.json").write_text('{"id":3}\n')
+    (tmp_path / "c.json").write_text('{\n"id":4}\n')
+    raw = records.read_raw(spark, Options.of(file_glob=str(tmp_path / "*")))
+    got = raw.records.select("record_index", "line_no", F.to_json("v").alias("j")).orderBy("record_index").collect()
+    assert [tuple(r) for r in got] == [(0, 2, '{"id":1}'), (1, 4, '{"id":2}'), (2, None, '{"id":3}'), (3, None, '{"id":4}')]
+    assert [(r.line_no, r.raw) for r in raw.rejects.collect()] == [(5, "broken")]
+    lines = records.read_raw(spark, Options.of(file_glob=str(tmp_path / "a.txt"))).records
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "binaryFile" not in plan
