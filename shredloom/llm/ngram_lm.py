@@ -593,8 +593,8 @@ def _scores(table: pa.Table, keys: list[str], size: np.ndarray, length: np.ndarr
     both = np.where(length == context + 1, count, 0)
     alone = (ones + 1) / (total[row] + VOCABULARY)
     logs = np.log((both + ALPHA * alone) / (seen + ALPHA))
-    sums = np.bincount(row, logs, len(size))
-    mean = np.bincount(row, context, len(size)) / np.maximum(size, 1)
+    sums = np.bincount(row, logs, len(size)).astype(np.float64)  # of no words at all it counts in integers
+    mean = np.bincount(row, context, len(size)).astype(np.float64) / np.maximum(size, 1)
     empty = size == 0
     return pa.table(
         {
